@@ -13,6 +13,9 @@ are packed as often as they occur; an empty table gives an empty table; other co
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,17 +23,20 @@ from pyspark.sql import DataFrame
 
 from .common import batches_by_bytes, prepared, text_bytes
 
-#: Chunks of text kept in a worker's memory before it starts anew, and the longest that is kept.
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 80
+#: Chunks of text kept in a worker's memory before the older half of them goes, and the longest that is kept.
+MOST_CHUNKS, LONGEST_CHUNK = 400_000, 80
+#: A word of letters that no normalisation but lower-casing changes, and a mark after it.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded long"
 
 
 class ChunkEncoder:
-    """The ids of a text as little-endian 32-bit integers, for a tokenizer that drops white space.
+    """The ids of a text as little-endian 32-bit integers, for a tokenizer that drops white space and marks word ends.
 
     Since no token spans white space, a text's ids are those of its chunks between ASCII white space, one after
-    another; a chunk met before is looked up.
+    another; a chunk met before is looked up.  New chunks that are one word of Latin letters, with or without a mark after it,
+    are encoded many at a time, laid out with spaces between, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
@@ -42,24 +48,61 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
+        self.older: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    @classmethod
+    @functools.cache
+    def shared(cls, path: str) -> "ChunkEncoder":
+        """One encoder a worker process, so that later tasks find the chunks of earlier ones."""
+        return cls(path)
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part) and stop[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+                self.cores.update(zip(part, map(data.__getitem__, map(slice, at, at[1:]))))
+            else:
+                self.cores.update(zip(part, self._each(part)))
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        out, simple, other = {}, [], []
+        for c in chunks:
+            text = c.decode()
+            if len(c) <= LONGEST_CHUNK and (m := SIMPLE.fullmatch(text)):
+                simple.append((c, m[1], m[2]))
+            else:
+                other.append((c, text))
+        out.update(zip((c for c, _ in other), self._each([t for _, t in other])))
+        if len(self.cores) > MOST_CHUNKS:
+            self.cores.clear()
+        self._words(list({w for _, word, mark in simple for w in (word, mark) if w and w not in self.cores}))
+        for c, word, mark in simple:
+            out[c] = self.cores[word] + self.cores[mark] if mark else self.cores[word]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > MOST_CHUNKS:
-            self.known = {}
+            self.older, self.known = self.known, {}
         cut = [t.split() for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        known = self.known
-        found = dict(zip(new, self._encode(new)))
-        long = {c: found[c] for c in new if len(c) > LONGEST_CHUNK}
-        known.update(found)
+        known, older = self.known, self.older
+        new = set().union(*cut).difference(known) if cut else set()
+        known.update((c, older[c]) for c in new.intersection(older))
+        known.update(self._encode(list(new.difference(older))))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for c in long:
-            del known[c]
+        for c in new:
+            if len(c) > LONGEST_CHUNK:
+                del known[c]
         return out
 
 
@@ -82,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         raise ValueError("capacity must be a power of two, 16 at least")
 
     def run(batches):
-        encoder, end = ChunkEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = ChunkEncoder.shared(tokenizer), np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 40
         serial, open_bins, done = 0, {}, []

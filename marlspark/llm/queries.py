@@ -50,7 +50,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("verified")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,21 @@ QUERIES = {
     )
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _spans(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """SQL for the matches of a pattern with their places: a match begins after the gaps and matches before it."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, place - length(m) AS s, place AS e FROM (
+        SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS place
+        FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(string_split_regex(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) AS g,
+                     unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i FROM d)) WHERE {keep}"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""
+_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '')"
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -77,4 +92,38 @@ ORACLE_SQL = {
               FROM documents)
         WINDOW w AS (PARTITION BY norm)
     """,
+    "op2_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        base AS ({_spans("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_VALUE}', 1)) >= 6")}
+            UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
+            UNION ALL {_spans("hex", 2, "[0-9a-f]+", "length(m) >= 24")}),
+        weak AS (SELECT * FROM (
+              {_spans("weak_id", 3, "[A-Za-z0-9]+", "regexp_matches(m, '^[A-Z0-9]{16,40}$') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')")}
+              UNION ALL {_spans("weak_secret", 4, "[A-Za-z0-9+/=_-]+", "regexp_matches(m, '^[A-Za-z0-9+/_-]{32,64}={0,2}$') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')")}) w
+            WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+        parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak
+            UNION ALL {_spans("endpoint", 5, "https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/%-]*)?", "true")}),
+        linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND p.s BETWEEN w.s - 240 AND w.e + 240
+            AND ((w.kind = 'weak_id' AND p.kind IN ('assign', 'hex', 'weak_secret')) OR (w.kind = 'weak_secret' AND p.kind IN ('access', 'weak_id', 'endpoint'))))),
+        b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_LIST} AS listed FROM base GROUP BY doc_id),
+        a AS (SELECT doc_id, {_LIST} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+    """,
+    "op3_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+        word AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        marked AS (SELECT word.*, max(later.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+                   FROM word LEFT JOIN later ON word.doc_id = later.doc_id AND word.i = later.i)
+        SELECT d.doc_id, count(m.i) AS n_words, count(m.i) FILTER (m.gone) AS n_removed, sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (NOT m.gone), '')) AS kept_sha256
+        FROM d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM q
+    """,
 }

@@ -18,7 +18,6 @@ empty table gives an empty table; very long texts are read whole, several chunks
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from itertools import compress
 
@@ -33,7 +32,8 @@ from .common import batches_by_bytes, prepared, shuffle_partitions, stored, text
 #: Odd multipliers of the two window hashes, and of the mixing between them (any odd numbers do).
 A1, A2, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 NO_ID = -(1 << 63)
-CHUNK_WORDS = 1 << 20
+#: Words that a task counts, or looks up in the sketch, at a time.
+COUNTED, LOOKED_UP = 1 << 20, 1 << 19
 
 
 class WordHashes(dict):
@@ -83,8 +83,8 @@ class Windows:
         return self._rolled(words, A1)[at], self._rolled(mixed ^ (mixed >> np.uint64(29)), A2)[at], doc, place
 
 
-def _pieces(batches, size: int):
-    """Chunks of ((doc_id, text hash), first place, word hashes); a longer text is taken in overlapping parts."""
+def _pieces(batches, size: int, most: int):
+    """Chunks of about ``most`` words, as ((doc_id, text hash), first place, word hashes); a longer text is taken in overlapping parts."""
     hashes, chunk, held = WordHashes(), [], 0
     for b in batches_by_bytes(batches, 1):
         for doc, text, th in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist()):
@@ -92,11 +92,11 @@ def _pieces(batches, size: int):
             if len(words) < size:
                 continue
             key, array = (NO_ID if doc is None else doc, th), hashes.of(words)
-            for i in range(0, len(array) - size + 1, CHUNK_WORDS):
-                part = array[i : i + CHUNK_WORDS + size - 1]
+            for i in range(0, len(array) - size + 1, most):
+                part = array[i : i + most + size - 1]
                 chunk.append((key, i, part))
                 held += len(part)
-                if held >= CHUNK_WORDS:
+                if held >= most:
                     yield chunk
                     chunk, held = [], 0
     if chunk:
@@ -128,7 +128,7 @@ def merged_sketch(docs: DataFrame, size: int, log2_cells: int) -> np.ndarray:
 
     def count(batches):
         windows = Windows(size)
-        for chunk in _pieces(batches, size):
+        for chunk in _pieces(batches, size, COUNTED):
             h1, h2, _, _ = windows.hashes([p[2] for p in chunk])
             rows = []
             for row, h in enumerate((h1, h2)):
@@ -171,10 +171,10 @@ def merged_sketch(docs: DataFrame, size: int, log2_cells: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def _packed(keys: list[tuple[int, int]], doc: np.ndarray, *arrays: np.ndarray) -> bytes:
+def _packed(keys, doc: np.ndarray, *arrays: np.ndarray) -> bytes:
     """Arrays by document; ``doc`` ascends."""
     which, counts = np.unique(doc, return_counts=True)
-    table = np.array([keys[i] for i in which], np.int64).reshape(-1, 2)
+    table = keys[which] if isinstance(keys, np.ndarray) else np.array([keys[i] for i in which], np.int64).reshape(-1, 2)
     return struct.pack("<QQ", len(which), len(doc)) + b"".join([table.tobytes(), counts.astype("<u4").tobytes(), *(a.tobytes() for a in arrays)])
 
 
@@ -192,28 +192,33 @@ def _unpacked(data: bytes, *kinds: str) -> tuple[np.ndarray, np.ndarray, list[np
     return table, counts, out
 
 
-def _places(table: np.ndarray, key: np.ndarray, place: np.ndarray):
-    """Rows (doc, th, places) of windows to remove."""
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order].astype("<u4")
-    which, first = np.unique(key, return_index=True)
-    return [(int(table[k, 0]), int(table[k, 1]), p.tobytes()) for k, p in zip(which, np.split(place, first[1:]))]
+#: Documents are dealt to ranges by simple arithmetic, which Python and Spark do alike.
+PRIME, FACTOR = (1 << 31) - 1, 48271
 
 
-def _record(rows: list[tuple]) -> pa.RecordBatch:
-    doc, th, places = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(places, pa.binary())], ["doc", "th", "places"])
+def _dealt(table: np.ndarray, ranges: int) -> np.ndarray:
+    return (table[:, 0] % PRIME * FACTOR + table[:, 1] % PRIME) % ranges
+
+
+def _by_range(table: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Windows to remove as rows (range, data), a row for each range of documents."""
+    of = _dealt(table, ranges)[doc]
+    order = np.lexsort((place, doc, of))
+    doc, place, of = doc[order], place[order], of[order]
+    bounds = np.searchsorted(of, np.arange(ranges + 1))
+    rows = [(int(r), _packed(table, doc[i:j], place[i:j])) for r, i, j in zip(range(ranges), bounds, bounds[1:]) if i < j]
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["range", "data"])
 
 
 def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
-    """(doc, th, places): the places of windows whose words also start earlier; a document can have several rows."""
+    """(range, data): the places of windows whose words also start earlier, packed by range of documents."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, size, log2_cells))
     parts = shuffle_partitions(spark)
 
     def candidates(batches):
         windows, bits = Windows(size), sketch.value
-        for chunk in _pieces(batches, size):
+        for chunk in _pieces(batches, size, LOOKED_UP):
             chunk = sorted({(key, i): part for key, i, part in chunk}.items(), key=lambda x: x[0])
             h1, h2, doc, place = windows.hashes([p for _, p in chunk])
             kept = np.arange(len(h1))
@@ -246,7 +251,7 @@ def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
             for part, kind, data in zip(*(c.to_pylist() for c in b.columns)):
                 if kind:
                     table, counts, (place,) = _unpacked(data, "<u4")
-                    yield _record(_places(table, np.repeat(np.arange(len(table)), counts), place))
+                    yield _by_range(table, np.repeat(np.arange(len(table)), counts), place, parts)
                 else:
                     held.setdefault(part, []).append(data)
         for part in list(held):
@@ -260,10 +265,11 @@ def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
             new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (doc != doc[head]) | (place != place[head])
-            yield _record(_places(table, doc[later], place[later]))
+            if later.any():
+                yield _by_range(table, doc[later], place[later], parts)
 
-    sent = docs.mapInArrow(candidates, "part int, kind int, data binary").repartition(parts, "part")
-    return sent.mapInArrow(group, "doc long, th long, places binary")
+    sent = docs.mapInArrow(candidates, "part int, kind int, data binary").repartitionById(parts, "part")
+    return sent.mapInArrow(group, "range int, data binary")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", log2_cells: int = 28) -> DataFrame:
@@ -271,21 +277,26 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
     docs = prepared(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = stored(repeated_windows(docs, size, log2_cells), "repeated-windows")
 
+    ranges = shuffle_partitions(docs.sparkSession)
+
     def assemble(batches):
-        key, places = None, []
+        now, places = None, {}
         for b in batches_by_bytes(batches, 4):
             out = []
-            for doc, th, p, is_text, text, doc_id in zip(*(b.column(i).to_pylist() for i in range(4)), text_bytes(b.column(4)), b.column(5).to_pylist()):
-                if (doc, th) != key:
-                    key, places = (doc, th), []
+            for of, is_text, data, doc, th, text, doc_id in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(5).to_pylist(), b.column(3).to_pylist(), text_bytes(b.column(4)), b.column(6).to_pylist()):
+                if of != now:
+                    now, places = of, {}
                 if not is_text:
-                    places.append(p)
+                    table, counts, (place,) = _unpacked(data, "<u4")
+                    for key, p in zip(map(tuple, table.tolist()), np.split(place, np.cumsum(counts)[:-1])):
+                        places.setdefault(key, []).append(p)
                     continue
                 words = text.split()
                 n, removed = len(words), 0
-                if places:
-                    at = np.frombuffer(b"".join(places), "<u4")
-                    cover = np.bincount(at, minlength=n + 1)[: n + 1] > 0
+                if (doc, th) in places:
+                    cover = np.zeros(n + 1, bool)
+                    for p in places[doc, th]:
+                        cover[p] = True
                     step = cover.astype(np.int64)
                     step[size:] -= cover[:-size]
                     kept = np.cumsum(step)[:n] == 0
@@ -297,7 +308,10 @@ def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n_words", "n_removed", "text"]
                 )
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "th", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("is_text"), "text", "doc_id")
-    spots = found.select("doc", "th", "places", F.lit(False).alias("is_text"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("doc_id"))
-    met = texts.unionByName(spots).repartition(shuffle_partitions(docs.sparkSession), "doc", "th").sortWithinPartitions("doc", "th", "is_text")
+    doc = F.coalesce("doc_id", F.lit(NO_ID))
+    of = F.pmod(F.pmod(doc, F.lit(PRIME)) * FACTOR + F.pmod(F.col("th"), F.lit(PRIME)), F.lit(ranges)).cast("int").alias("range")
+    texts = docs.select(of, F.lit(True).alias("is_text"), F.lit(None).cast("binary").alias("data"), "th", "text", doc.alias("doc"), "doc_id")
+    spots = found.select("range", F.lit(False).alias("is_text"), "data", *(F.lit(None).cast(t).alias(c) for c, t in (("th", "long"), ("text", "string"), ("doc", "long"), ("doc_id", "long"))))
+    # a range's spots come before its texts, and a task holds the spots of one range at a time
+    met = texts.unionByName(spots).repartitionById(ranges, "range").sortWithinPartitions("range", "is_text")
     return met.mapInArrow(assemble, "doc_id long, n_words long, n_removed long, text binary").withColumn("text", F.col("text").cast("string"))
