@@ -78,3 +78,8 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     from pyspark.sql import functions as F
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ...: whatever an operator adds can't clash; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
@@ -127,8 +127,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 240, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans become one mark."""
-    out = with_spans(docs, id_col, text_col, scope)
-    text = F.col(text_col)
+    names = docs.columns
+    id_, text_ = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    out = with_spans(numbered(docs), id_, text_, scope)
+    text = F.col(text_)
 
     def step(acc: Column, s: Column) -> Column:
         add = F.concat(acc["text"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
@@ -136,4 +138,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
 
     begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     cut = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(text)).drop("_base", "_spans")
+    return out.withColumn(text_, F.when(F.size("_spans") > 0, cut).otherwise(text)).drop("_base", "_spans").toDF(*names)
