@@ -6,40 +6,45 @@ predecessor kept; a null doc_id is treated as the smallest one, and rows without
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.llm import exact_dedup, packing, secrets, simhash, toxicity
-from marlspark.llm.common import stored
+from marlspark.llm.common import numbered, stored
 
 SMALLEST = -(1 << 63)
 
 
-def _only(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """The rows whose doc_id is in ``ids``, a table of one column; rows that repeat doc_id and text once if asked."""
-    key = ids.select(F.coalesce(ids.columns[0], F.lit(SMALLEST)).alias("_key")).distinct()
-    out = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST))).join(key, "_key", "left_semi")
-    if once:
-        out = out.dropDuplicates(["_key", "text"])
-    return out.select(*docs.columns)
+def _key(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("long"), F.lit(SMALLEST))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model takes for toxic go; without labels of both classes all stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.measured(docs, model, "text", docs.columns, names=("_evidence", "_score"))
-    return scored.where("_score < 0.5").select(*docs.columns)
+    plain = numbered(docs)
+    scored = toxicity.measured(plain, model, f"c{docs.columns.index('text')}", plain.columns)
+    return scored.where("score < 0.5").select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, once."""
-    kept = exact_dedup.deduplicate(docs).where("kept").select("keep_id")
-    return _only(docs, kept, once=True)
+    """Of equal texts the row with the largest doc_id stays, once; rows of one doc_id with other texts are judged by themselves."""
+    plain = numbered(docs)
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    sha = F.sha2(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    kept = exact_dedup.deduplicate(docs).where("kept").select(_key("keep_id").alias("key"), F.col("text_sha256").alias("sha"))
+    out = plain.withColumns({"key": _key(doc_id), "sha": sha}).join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"])
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    return _only(docs, simhash.near_duplicates(docs).select("component_id"))
+    """Of each component of near copies the document with the smallest doc_id stays; rows that share a doc_id stay or go together."""
+    plain = numbered(docs)
+    least = simhash.near_duplicates(docs).select(_key("component_id").alias("key")).distinct()
+    out = plain.withColumn("key", _key(f"c{docs.columns.index('doc_id')}")).join(least, "key", "left_semi")
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
