@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batches_by_bytes, prepared, text_bytes
 
 #: Chunks of text kept in a worker's memory before the older half of them goes, and the longest that is kept.
-MOST_CHUNKS, LONGEST_CHUNK = 400_000, 80
+MOST_CHUNKS, LONGEST_CHUNK = 150_000, 80
 #: A word of letters that no normalisation but lower-casing changes, and a mark after it.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
@@ -58,9 +58,12 @@ class ChunkEncoder:
     @classmethod
     @functools.cache
     def shared(cls, path: str) -> "ChunkEncoder":
-        """One encoder a worker process, so that later tasks find the chunks of earlier ones."""
+        """One encoder a worker process; a task that ends has it forget its chunks, as idle workers keep their memory."""
         return cls(path)
 
+    def forget(self) -> None:
+        self.known, self.older, self.cores = {}, {}, {}
+
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        for b in batches_by_bytes(batches, 1, 4 << 20):
+        for b in batches_by_bytes(batches, 1, 2 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(text_bytes(b.column(1)))):
                 ids += end
                 total, start = len(ids) // 4, 0
@@ -157,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
                         close(open_bins.pop(k), capacity)
                     start += n
             yield emit()
+        encoder.forget()
 
         rest = [p for k in sorted(open_bins) for p in open_bins[k]]
         left = sum(len(p[2]) // 4 for p in rest)
