@@ -25,8 +25,9 @@ from .common import batches_by_bytes, prepared, text_bytes
 
 #: Chunks of text kept in a worker's memory before the older half of them goes, and the longest that is kept.
 MOST_CHUNKS, LONGEST_CHUNK = 150_000, 80
-#: A word of letters that no normalisation but lower-casing changes, and a mark after it.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: A chunk is a word of letters that no normalisation but lower-casing changes, with or without a mark after it, or anything else.
+CHUNK = re.compile("([a-zß-öø-ÿ]{1,40})([.,;:!?]{0,9}) |([^ ]+) ")
+
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded long"
 
@@ -78,21 +79,16 @@ class ChunkEncoder:
             else:
                 self.cores.update(zip(part, self._each(part)))
 
-    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        out, simple, other = {}, [], []
-        for c in chunks:
-            text = c.decode()
-            if len(c) <= LONGEST_CHUNK and (m := SIMPLE.fullmatch(text)):
-                simple.append((c, m[1], m[2]))
-            else:
-                other.append((c, text))
-        out.update(zip((c for c, _ in other), self._each([t for _, t in other])))
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Puts new chunks into the memory."""
+        shaped = CHUNK.findall((b" ".join(chunks) + b" ").decode().lower())  # as the tokenizer would
+        if other := [c for c, t in zip(chunks, shaped) if t[2]]:
+            self.known.update(zip(other, self._each([c.decode() for c in other])))
         if len(self.cores) > MOST_CHUNKS:
             self.cores.clear()
-        self._words(list({w for _, word, mark in simple for w in (word, mark) if w and w not in self.cores}))
-        for c, word, mark in simple:
-            out[c] = self.cores[word] + self.cores[mark] if mark else self.cores[word]
-        return out
+        cores = self.cores
+        self._words(list({x for word, mark, _ in shaped for x in (word, mark) if x and x not in cores}))
+        self.known.update((c, cores[word] + cores[mark] if mark else cores[word]) for c, (word, mark, _) in zip(chunks, shaped) if word)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > MOST_CHUNKS:
@@ -101,7 +97,8 @@ class ChunkEncoder:
         known, older = self.known, self.older
         new = set().union(*cut).difference(known) if cut else set()
         known.update((c, older[c]) for c in new.intersection(older))
-        known.update(self._encode(list(new.difference(older))))
+        if missing := list(new.difference(older)):
+            self._encode(missing)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for c in new:
             if len(c) > LONGEST_CHUNK:

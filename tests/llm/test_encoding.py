@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -55,6 +56,15 @@ def test_packing(spark, sf_dir, which):
     assert multiset(got) == want
 
 
+def test_chunks_are_encoded_as_in_the_whole_text():
+    t, e = tokenizer(WORD), packing.ChunkEncoder(WORD)
+    rng = random.Random(6)
+    bits = ["Wort", "ÄÖ", "İx", "K", "Å", "ẞ", "é", "e\u0301", ".", ",", "!?", "|", "12", "'s", "\u00a0", "\u3000", "日本", "😀", "-", "a" * 50, "\u0130", "ﬁ", "<|endoftext|>"]
+    texts = ["".join(rng.choice([*bits, " ", " ", "\n"]) for _ in range(30)) for _ in range(400)]
+    for i in range(0, 400, 40):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in texts[i : i + 40]])] == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + 40]]
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 4095, 4096, 4097, 20_000])
 def test_cut_lengths(n):
     cut = packing.cut_lengths(n, 4096)
