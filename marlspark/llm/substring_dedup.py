@@ -5,7 +5,7 @@
    sketches are merged by ranges of cells.
 2. A second pass takes up only windows whose counters all say "at least two".  The sketch never counts too little, so no repeated
    window is lost.  Within a chunk of documents all but the first of equal windows are settled at once, so a passage that very many
-   documents share reaches the shuffle once a chunk.  The rest is grouped exactly, by 128 bits of hash, into ranges of hashes.
+   documents share reaches the shuffle once a chunk.  The rest is grouped exactly, by 96 bits of hash, into ranges of hashes.
 3. Documents meet the places of their repeated windows and are put together without the covered words.
 
 The merged sketch that each task reads is 2 * 2**log2_cells bits (64 MB at 28), whatever the size of the input.  Over more windows
@@ -225,7 +225,7 @@ def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
             for row, h in enumerate((h1, h2)):
                 c = _cells(h[kept], log2_cells)
                 kept = kept[(bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1]
-            h1, h2, doc = h1[kept], h2[kept], doc[kept]
+            h1, h2, doc = h1[kept], (h2[kept] >> np.uint64(32)).astype("<u4"), doc[kept]
             place = (place[kept] + np.array([i for (_, i), _ in chunk], np.int64)[doc]).astype("<u4")
             keys = [key for (key, _), _ in chunk]
             order = np.lexsort((h2, h1))  # stable: of equal windows the earliest comes first
@@ -255,7 +255,7 @@ def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
                 else:
                     held.setdefault(part, []).append(data)
         for part in list(held):
-            got = [_unpacked(d, "<u8", "<u8", "<u4") for d in held.pop(part)]
+            got = [_unpacked(d, "<u8", "<u4", "<u4") for d in held.pop(part)]
             table, which = np.unique(np.concatenate([g[0] for g in got]), axis=0, return_inverse=True)
             doc = np.repeat(which.reshape(-1), np.concatenate([g[1] for g in got]))
             h1, h2, place = (np.concatenate([g[2][i] for g in got]) for i in range(3))
