@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Pairs of relations that contradict each other (fixed values, each in both orders).
 OPPOSITE = [("increases", "reduces")]
+#: Candidates an entity is resolved against (fixed value).
+MAX_CANDIDATES = 25
 
 
 def both_ways(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -92,6 +94,34 @@ def blocking(entities: DataFrame, common: int = 200) -> DataFrame:
     return a.join(b, ["kind", "word"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def blocks(entities: DataFrame) -> DataFrame:
+    """(kind, word, id, members): every word of every entity with the number of entities of its kind that hold it; a row a word of an entity, whatever its frequency.
+
+    entities: id, name, kind.
+    """
+    t = entities.select("id", "kind", F.explode(name_tokens(F.col("name"))).alias("word")).distinct()
+    return t.join(t.groupBy("kind", "word").agg(F.count("*").alias("members")), ["kind", "word"])
+
+
+def candidates(entities: DataFrame, limit: int = MAX_CANDIDATES, salts: int = 8) -> DataFrame:
+    """(id, others): the first ``limit`` other entities of a kind with the same name or a shared word, equal names (in any case) first, then by id; none gives an empty array.
+
+    entities: id, name, kind; id is unique.  No pairs are made and no word is left out: what stands among the first ``limit`` of all that share
+    something stands among the first ``limit`` + 1 of some word or of the name, so every word needs only its smallest ids.  The words of entities are
+    salted, so that a common one is not one task.
+    """
+    low = F.lower(F.trim("name"))
+    keys = F.concat(F.array(F.struct(F.lit(True).alias("exact"), low.alias("word"))), F.transform(name_tokens(F.col("name")), lambda w: F.struct(F.lit(False).alias("exact"), w.alias("word"))))
+    t = entities.select("id", "kind", F.explode(keys).alias("k")).select("id", "kind", "k.exact", "k.word").where("word <> ''")
+    by = ["kind", "exact", "word"]
+    first = t.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= limit + 1)
+    heads = first.groupBy(*by).agg(F.collect_list("id").alias("ids")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(heads, [*by, "salt"])
+    other = met.select("id", "exact", F.explode("ids").alias("other")).where("id <> other").groupBy("id", "other").agg(F.max("exact").alias("exact"))
+    best = other.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((~F.col("exact")).alias("later"), "other"))), 1, limit)["other"].alias("others"))
+    return entities.select("id").join(best, "id", "left").select("id", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

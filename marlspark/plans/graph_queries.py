@@ -68,10 +68,25 @@ def cited_hops(spark, d):
 TOKENS = ", t AS (SELECT p_partkey AS id, p_brand AS kind, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS w FROM part)"
 
 
+def named_parts(spark, d):
+    return C.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"))
+
+
 @query("g14_blocking", "WITH x AS (SELECT 1)" + TOKENS + """, u AS (SELECT id, kind, unnest(w) AS word FROM t), r AS (SELECT kind, word FROM u GROUP BY ALL HAVING count(*) BETWEEN 2 AND 12), v AS (SELECT * FROM u JOIN r USING (kind, word))
 SELECT a.id AS a, b.id AS b, count(*) AS shared FROM v a JOIN v b ON a.kind = b.kind AND a.word = b.word AND a.id < b.id GROUP BY ALL""")
 def blocking(spark, d):
-    return G.blocking(C.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind")), common=12)
+    return G.blocking(named_parts(spark, d), common=12)
+
+
+@query("g14_blocks", "WITH x AS (SELECT 1)" + TOKENS + ", u AS (SELECT id, kind, unnest(w) AS word FROM t) SELECT kind, word, id, count(*) OVER (PARTITION BY kind, word) AS members FROM u")
+def blocks(spark, d):
+    return G.blocks(named_parts(spark, d))
+
+
+@query("g14_candidates", "WITH x AS (SELECT 1)" + TOKENS + """, n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS name FROM part), p AS (SELECT a.id, b.id AS other, x.name = y.name AS exact FROM t a JOIN t b ON a.kind = b.kind AND a.id <> b.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id WHERE x.name = y.name AND x.name <> '' OR list_has_any(a.w, b.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exact DESC, other) AS r FROM p) SELECT t.id, coalesce(list(other ORDER BY r) FILTER (r <= 25), []) AS others FROM t LEFT JOIN r ON t.id = r.id GROUP BY t.id""")
+def candidates(spark, d):
+    return G.candidates(named_parts(spark, d))
 
 
 @query("g15_similarity_bands", "WITH x AS (SELECT 1)" + TOKENS + """, p AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) * 0.3 / 0.7 + CASE WHEN a.kind = b.kind THEN 1.0 ELSE 0.0 END * 0.4 / 0.7, 6) AS score FROM t a JOIN t b ON b.id = a.id + 1)

@@ -114,3 +114,18 @@ def test_empty_tables_give_empty_results(spark):
     e = spark.createDataFrame([], "user_id long, ts timestamp, v long")
     assert R.asof_join(e.drop("v"), e, by="user_id", on="ts", value="v").count() == 0
     assert D.boilerplate(spark.createDataFrame([], "host string, page_id long, line string")).count() == 0
+
+
+def test_common_words_still_give_candidates(spark):
+    names = [f"steel bolt{i}" for i in range(300)] + ["Steel", "steel", "xy", "xy", "other thing"]
+    data = [(i, n, "k") for i, n in enumerate(names)] + [(400, "steel", "another kind")]
+    e = spark.createDataFrame(data, "id long, name string, kind string")
+    assert G.blocking(e, common=12).where("a < 300").count() == 0  # the capped pairs lose them all
+    words = {i: set(n.lower().split()) - {"xy"} for i, n, _ in data}
+    want = {}
+    for i, n, k in data:
+        others = [(m.lower() != n.lower(), j) for j, m, q in data if q == k and j != i and (m.lower() == n.lower() or words[i] & words[j])]
+        want[i] = [j for _, j in sorted(others)[:25]]
+    assert {r["id"]: r["others"] for r in G.candidates(e).collect()} == want
+    members = {(r["kind"], r["word"], r["id"]): r["members"] for r in G.blocks(e).collect()}
+    assert len(members) == sum(map(len, words.values())) and members["k", "steel", 0] == 302
