@@ -1,29 +1,27 @@
-"""Toxicity scores from class-conditional Kneser-Ney models.
+"""Toxicity scores from class-conditional counts of words and character n-grams.
 
-A text is read as the beginnings of its words: the first ``PREFIX`` letters, lower-cased.  Each class has a model of them: absolute
-discounting of the class's counts (a document counts a beginning ``MOST`` times at most), and what the discount frees is spread by
-backoff counts that both classes share, the numbers of documents in which a beginning stands, gathered from all documents, labelled or not.
-A rare expression thus gets the same probability from both models except where a class has seen it.
+A text is read as its tokens: what stands between white space, lower-cased, signs and digits included; runs of letters of scripts without spaces are
+read as overlapping pairs.  A token's units are its runs of word characters, whole, and all its ``LENGTH``-grams of characters, with its ends marked.
+A unit's count is the number of pairs of a document and a distinct token of it that hold the unit; so repeating a token in a document adds nothing, and
+no count is capped.  Units are counted as themselves, by Spark, over all documents and over each class; the tables grow with the vocabulary.
 
-The two log-likelihoods are compared word by word.  From every word's difference the median difference of its text is taken off,
-which holds what the text's language and subject alone explain, and differences within ``MARGIN`` of it count as none, as they are what a
-small class leaves to chance.  The sum of the rest over the number of words, times a hundred, is the evidence; a logistic curve fitted
-to labelled documents that no count has seen turns it into a score.  (Plain sums of the differences were tried first: over languages
-whose share differs by class they ranked 0.7 of the pairs of held-out documents right, and this 0.97.)
+Each class has a model of the units: absolute discounting of its counts, and what the discount frees is spread by the counts that both classes share,
+gathered from all documents, labelled or not.  A unit that no class has seen has the same log-probability ratio everywhere: that ratio, a property of
+the corpus and not of the text, is the baseline that is taken off.  A token's excess is that of its most telling unit over ``MARGIN`` nats, or
+0.  The sum of the excesses over the number of tokens, times a hundred, is the evidence; a logistic curve fitted to labelled documents that no count
+has seen turns it into a score.  Only units above the margin bear on a score, so only they are sent to the tasks.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0: folds 1 to 3 give the counts and fold 4 the curve.  At most
-``most_labels`` labelled rows are used (those with the smallest hash of doc_id), which bounds the broadcast side of the join.  Every task
-counts in arrays of 2**SLOTS cells, to which beginnings are hashed; Spark adds them up, and the table that tasks get is as large.
+``most_labels`` labelled rows are used (those with the smallest hash of doc_id), which bounds the broadcast side of the join.
 
 Defined results: null and empty texts have evidence 0; a null doc_id counts as held out; labels without doc_id or class are ignored, and of several
 labels of a document the largest holds; without training rows of both classes every score is 0; repeated rows get equal results; an empty table gives
-an empty table; very long texts are read whole, in stretches; no column but the text enters a score.
+an empty table; very long texts are read whole; no column but the text enters a score.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,88 +31,114 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, stored
 
-PREFIX, MOST, DISCOUNT, MARGIN, SLOTS = 6, 4, 3.0, 1.5, 21
-WORD = re.compile(r"[^\W\d_]+")
-#: Characters read at a time, and beginnings kept in a worker's memory.
+LENGTH, DISCOUNT, MARGIN = 6, 3.0, 1.5
+WORD = re.compile(r"\w+")
+#: Runs of Thai, Lao, Burmese, Khmer, Chinese, Japanese and Korean.
+WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]+")
+#: Characters of a text from which on its tokens are not made at once, and tokens kept in a worker's memory.
 STRETCH, MOST_KNOWN = 1 << 19, 300_000
 
 
 class Known(dict):
-    """The values of beginnings, kept while there are not too many."""
+    """The values of tokens, kept while there are not too many."""
 
     def __init__(self, value):
         super().__init__()
         self.value = value
 
-    def __missing__(self, unit: str):
+    def __missing__(self, token: str):
         if len(self) > MOST_KNOWN:
             self.clear()
-        v = self[unit] = self.value(unit)
+        v = self[token] = self.value(token)
         return v
 
 
-def slot(unit: str) -> int:
-    return zlib.crc32(unit.encode("utf-8", "replace")) >> (32 - SLOTS)
+def _pairs(run: re.Match) -> str:
+    r = run[0]
+    return f" {' '.join(r[i : i + 2] for i in range(max(1, len(r) - 1)))} "
 
 
-def units(text: str | None):
-    """Lists of the beginnings of words, a list a stretch."""
-    text = text or ""
-    for i in range(0, len(text), STRETCH):
-        yield [w[:PREFIX] for w in WORD.findall(text[i : i + STRETCH].lower())]
+def tokens(text: str | None):
+    text = (text or "").lower()
+    if WIDE.search(text):
+        text = WIDE.sub(_pairs, text)
+    return text.split() if len(text) <= STRETCH else (m[0] for m in re.finditer(r"\S+", text))
+
+
+def units(token: str) -> set[str]:
+    """Words begin with two spaces, which no n-gram does."""
+    ends = f" {token} "
+    return {ends[i : i + LENGTH] for i in range(max(1, len(ends) - LENGTH + 1))}.union("  " + w for w in WORD.findall(token))
+
+
+def _rows(name: str, count: dict):
+    """Record batches of (name, n0, n1, n) from three counters; the last has all keys."""
+    keys = list(count[2])
+    for i in range(0, len(keys), 1 << 16):
+        part = keys[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in count)], [name, "n0", "n1", "n"])
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """(kind, slot, n) from (text, cls): kinds 0 and 1 are the counts of a class, 2 the numbers of documents; a row a slot that a task has met."""
+    """(unit, n0, n1, n) from (text, cls): the counts of each class and of all documents, a row a unit."""
 
-    def run(batches):
-        slots = Known(slot)
-        count = np.zeros((3, 1 << SLOTS), np.int64)
+    def by_token(batches):
+        count = [Counter() for _ in range(3)]
         for b in batches_by_bytes(batches, 0, 2 << 20):
             for text, cls in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tally: Counter[str] = Counter()
-                for part in units(text):
-                    tally.update(part)
-                at = np.fromiter(map(slots.__getitem__, tally), np.int64, len(tally))
-                np.add.at(count[2], at, 1)
+                once = set(tokens(text))
+                count[2].update(once)
                 if cls is not None:
-                    np.add.at(count[cls], at, np.minimum(np.fromiter(tally.values(), np.int64, len(tally)), MOST))
-        for kind in range(3):
-            at = np.flatnonzero(count[kind])
-            for i in range(0, len(at), 1 << 18):
-                part = at[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(count[kind][part])], ["kind", "slot", "n"])
+                    count[cls].update(once)
+                if len(count[2]) > MOST_KNOWN:
+                    yield from _rows("token", count)
+                    count = [Counter() for _ in range(3)]
+        yield from _rows("token", count)
+
+    def by_unit(batches):
+        count = [Counter() for _ in range(3)]
+        for b in batches_by_bytes(batches, 0, 2 << 20):
+            for token, *ns in zip(*(c.to_pylist() for c in b.columns)):
+                for u in units(token):
+                    for c, n in zip(count, ns):
+                        if n:
+                            c[u] += n
+                if len(count[2]) > MOST_KNOWN:
+                    yield from _rows("unit", count)
+                    count = [Counter() for _ in range(3)]
+        yield from _rows("unit", count)
 
-    return docs.mapInArrow(run, "kind int, slot long, n long")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "n")]
+    seen = docs.mapInArrow(by_token, "token string, n0 long, n1 long, n long").groupBy("token").agg(*sums)
+    return seen.mapInArrow(by_unit, "unit string, n0 long, n1 long, n long").groupBy("unit").agg(*sums)
 
 
 class Model:
-    """The differences of log-probabilities by slot, and the curve."""
+    """What units say beyond the margin, and the curve."""
 
-    def __init__(self, got: pa.Table):
-        kind, at, n = (got[c].to_numpy() for c in ("kind", "slot", "n"))
-        count = np.zeros((3, 1 << SLOTS))
-        count[kind, at] = n
-        self.usable = bool(count[0].any() and count[1].any())
+    def __init__(self, counts: DataFrame):
+        free = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
+        t = counts.agg(*(F.coalesce(x, F.lit(0)).cast("double") for x in (F.sum("n"), F.sum("n0"), F.sum("n1"), free("n0"), free("n1")))).first()
+        self.usable = bool(t[1] and t[2])
         self.slope, self.offset = 1.0, 0.0
-        self.table = self._differences(count) if self.usable else np.zeros(1, np.float32)
+        self.excess: dict[str, float] = {}
+        if self.usable:
+            gain = [F.log1p(F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / (F.lit(t[3 + k] / t[0]) * F.col("n"))) for k in (0, 1)]
+            over = counts.where(F.col("n1") > DISCOUNT).select("unit", (gain[1] - gain[0] - MARGIN).alias("excess")).where("excess > 0").toArrow()
+            self.excess = dict(zip(over["unit"].to_pylist(), over["excess"].to_pylist()))
 
-    @staticmethod
-    def _differences(count: np.ndarray) -> np.ndarray:
-        shared = (count[2] + 0.5) / (count[2] + 0.5).sum()
-        p = [(np.maximum(n - DISCOUNT, 0) + np.minimum(n, DISCOUNT).sum() * shared) / n.sum() for n in count[:2]]
-        return (np.log(p[1]) - np.log(p[0])).astype(np.float32)
+    def of_token(self, token: str) -> float:
+        return max((self.excess[u] for u in units(token) & self.excess.keys()), default=0.0)
 
     def evidence(self, texts: list[str | None], known: Known | None = None) -> np.ndarray:
-        """What speaks for the toxic class, in nats a hundred words."""
+        """What speaks for the toxic class, in nats a hundred tokens."""
         if not self.usable:
             return np.zeros(len(texts))
-        known = known or Known(lambda u: self.table[slot(u)])
+        known = known or Known(self.of_token)
         out = []
         for t in texts:
-            parts = [np.fromiter(map(known.__getitem__, part), np.float32, len(part)) for part in units(t)]
-            d = np.concatenate(parts) if parts else np.zeros(0, np.float32)
-            out.append(100 * float(np.maximum(d - np.median(d) - MARGIN, 0).mean(dtype=np.float64)) if len(d) else 0.0)
+            d = np.fromiter(map(known.__getitem__, tokens(t)), np.float64)
+            out.append(100 * float(d.mean()) if len(d) else 0.0)
         return np.array(out, np.float64)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -149,8 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = F.broadcast(stored(known.orderBy(F.xxhash64("id"), "id").limit(most_labels), "toxic-labels"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = texts.join(known, "id", "left").select("text", F.when(fold("id") < 4, F.col("toxic")).alias("cls"))
-    grams = stored(gathered(counted), "toxic-grams")
-    model = Model(grams.groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow())  # three rows a slot at most
+    model = Model(stored(gathered(counted), "toxic-units"))
 
     bound = texts.join(known.where(fold("id") == 4).orderBy(F.xxhash64("id"), "id").limit(20_000), "id").select("id", "text", "toxic")
     rows = measured(bound, model, "text", keep=["toxic"]).toPandas()
@@ -165,7 +188,7 @@ def measured(docs: DataFrame, model: Model, text_col: str, keep: list[str], name
     schema = [f"_{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes)]
 
     def run(batches):
-        known = Known(lambda u: sent.value.table[slot(u)])
+        known = Known(sent.value.of_token)
         for b in batches_by_bytes(batches, len(keep), 2 << 20):
             evidence = sent.value.evidence(b.column(len(keep)).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(evidence), pa.array(sent.value.score(evidence))], [f"_{i}" for i in range(len(keep))] + ["evidence", "score"])

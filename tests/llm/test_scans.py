@@ -148,3 +148,45 @@ def test_toxicity_of_awkward_rows(spark):
     for ls in (labels.limit(0), labels.where("toxic = 1")):
         assert {r["score"] for r in toxicity.score(docs, ls).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+ORDINARY = "the wall and a door of some house near that river with old trees under grey clouds over our quiet town".split()
+
+
+def trained(spark, toxic: list[str], clean: list[str] = [], extra: list[str] = []) -> toxicity.Model:
+    """A model of 200 short texts, every other one with two of the toxic expressions; the others with two of the clean ones."""
+    rng = random.Random(5)
+    data = []
+    for i in range(200):
+        words = rng.sample(ORDINARY, 8)
+        for w in rng.sample(toxic, min(2, len(toxic))) if i % 2 else rng.sample(clean, min(2, len(clean))):
+            words.insert(rng.randrange(len(words)), w)
+        data.append((i, " ".join(words)))
+    docs = spark.createDataFrame(data + [(1000 + i, x) for i, x in enumerate(extra)], "doc_id long, text string")
+    return toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+
+
+def predicted(model, texts):
+    return (model.score(model.evidence(texts)) >= 0.5).tolist()
+
+
+def test_toxicity_of_one_word_and_all_toxic_texts(spark):
+    model = trained(spark, ["vermin", "blighter"])
+    assert predicted(model, ["vermin", "vermin vermin vermin", "blighter vermin blighter vermin vermin", "Vermin!"]) == [True] * 4
+    assert predicted(model, ["wall", "wall wall wall", "the old house", "quiet unseen words", ""]) == [False] * 5
+
+
+def test_toxicity_keeps_units_apart(spark):
+    cell = lambda w: zlib.crc32(w.encode()) >> 11
+    names = (a + b + c + d + "zz" for a in "bdfgklmn" for b in "aeiouy" for c in "bdfgklmnprst" for d in "aeiouybdfgklmnprst")
+    names = list(names) + [x[::-1] for x in ("".join(p) for p in __import__("itertools").product("qxzvw", "aeiou", "qxzvw", "aeiou", "qxzvw", "aeiou"))]
+    seen: dict[int, str] = {}
+    toxic, other = next((seen[cell(w)], w) for w in names if seen.setdefault(cell(w), w) != w)  # the same of 2**21 hashed cells
+    model = trained(spark, [toxic])
+    assert predicted(model, [f"the {toxic} and some wall", f"the {other} and some wall"]) == [True, False]
+
+
+def test_toxicity_reads_every_character(spark):
+    model = trained(spark, ["gesellschaftsratte", "#$%!", "1337", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u4f60\u662f\u7b28\u86cb"], ["gesellschaftsabend", "#$%.", "1336", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u73a9"])
+    assert predicted(model, ["a gesellschaftsratte", "old #$%! door", "old 1337 door", "\u660e\u5929\u4e5f\u4e0d\u8981\u53bb\u56e0\u4e3a\u4ed6\u662f\u7b28\u86cb"]) == [True] * 4
+    assert predicted(model, ["a gesellschaftsabend", "old #$%. door", "old 1336 door", "\u4eca\u5929\u5929\u6c14\u5f88\u597d"]) == [False] * 4
