@@ -27,6 +27,12 @@ def prototypes(spark, d):
     return scores(spark, d)
 
 
+@query("v9_comparable_scores", C.sql("sources vectors", SCORES + " SELECT s.chunk_id, s.topic, round(CASE WHEN language <> 'en' THEN least(1.0, 0.2 + 1.2 * (score - 0.2)) ELSE score END, 6) AS score FROM s JOIN vectors v ON s.chunk_id = v.chunk_id JOIN sources o ON v.source_id = o.source_id"))
+def comparable(spark, d):
+    owner = C.vectors(spark, d).select("chunk_id", "source_id").join(C.sources(spark, d).select("source_id", "language"), "source_id")
+    return scores(spark, d).join(owner, "chunk_id").select("chunk_id", "topic", F.round(T.comparable(F.col("score"), F.col("language")), 6).alias("score"))
+
+
 @query("v10_labels", C.sql("vectors", SCORES + ", b AS (SELECT *, max(score) OVER (PARTITION BY chunk_id) AS best FROM s) SELECT chunk_id, list(topic ORDER BY score DESC, topic) AS topics FROM b WHERE score >= 0.2 AND score >= round(best - 0.04, 4) GROUP BY chunk_id"))
 def label_decision(spark, d):
     return T.labels(scores(spark, d), floor=0.2)
