@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder that the cluster names in spark.checkpoint.dir; its lineage ends there."""
+    """The table, written to the shared folder that the cluster names in spark.checkpoint.dir; its lineage ends there.
+
+    A machine-local folder is taken only where the whole of Spark runs on this machine and no folder is named.
+    """
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlspark-"))
     return df.checkpoint(eager=True)
