@@ -5,10 +5,15 @@ spans: anything around an at sign or its spelled-out form, and runs of digits wi
 (digits, groups, separators, check digit, octets) and context (words before it, neighbouring characters).  A candidate whose probability reaches its kind's
 threshold, and that overlaps no base span and no better candidate, is reported as ``likely_email`` or ``likely_number``.
 
-There are no labels of personal data, so the trees learn from the base patterns: candidates that cover a base span are positive; positive ones
-with a digit changed so that their check fails, or without their ending, are negative, as are candidates that no base pattern touches, unless their digits are grouped as in some positive.
-The sample is bounded: ``most_docs`` documents with the smallest hashes, of which at most ``most_rows`` candidates.  Each threshold is set on a third of the sample that the
-trees have not seen, as the lowest with a precision of at least ``precision``; a kind with too few positives there reports no candidates.
+There are no labels of personal data, so the trees learn from the base patterns.  Positive are candidates that cover a base span, and base spans written in other
+ways: addresses with their signs spelled out, phone numbers with 00 for the plus sign.  Negative are positive ones with a digit changed so that their check fails, or
+without their ending, and candidates that no base pattern touches, unless they are spelled-out addresses or their digits are grouped as in some positive.
+The sample is bounded: ``most_docs`` documents with the smallest hashes, of each at most ``most_each`` candidates and a quarter as many base spans, spread evenly over
+the text, of all at most ``most_rows`` examples.  Each threshold is set on a third of the sample that the trees have not seen, as the lowest with a
+precision of at least ``precision``; a kind with too few positives there reports no candidates.
+
+The generators propose runs of digits and separators of 7 to 40 characters and addresses of at most 64 characters on either side of the sign: longer ones are no
+numbers or mailboxes that anyone uses.  Base spans have no such bounds.
 
 Matches are leftmost and do not overlap within a kind; places are counted in code points, the end is exclusive.
 
@@ -20,6 +25,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -148,18 +155,55 @@ def corrupted(text: str, start: int, rank: int, end: int) -> str | None:
     return text[: start + 1] + "0" * 16 + text[start + 1 :]
 
 
+class Spans:
+    """Sorted (start, rank, end) that are asked what overlaps a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.spans, self.starts = spans, [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, _, e in spans), max))
+
+    def over(self, start: int, end: int):
+        """Those that overlap, from the last one back."""
+        i = bisect_left(self.starts, end) - 1
+        while i >= 0 and self.reach[i] > start:
+            if self.spans[i][2] > start:
+                yield self.spans[i]
+            i -= 1
+
+    def touched(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.reach[i] > start
+
+
+def rewritten(text: str, start: int, rank: int, end: int) -> list[str]:
+    """The span as people write it to keep it from programs."""
+    s = text[start:end]
+    if rank == 0:
+        local, _, host = s.partition("@")
+        return [f"{local} [at] {host.replace('.', ' [dot] ')}", f"{local} (at) {host}"]
+    return ["00" + s[1:]] if rank == 3 else []
+
+
+def spread(items: list, most: int) -> list:
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
 def examples(text: str, most: int = 200) -> list[tuple[int, int, str, list[float]]]:
-    """(kind, label, shape, features) of a text's candidates and of corrupted ones."""
+    """(kind, label, shape, features) of a text's candidates, of corrupted and of rewritten ones."""
     base, out = base_spans(text), []
-    for s, kind, e in candidates(text)[:most]:
-        hit = any(bs < e and s < be and (min(e, be) - max(s, bs)) * 2 >= max(e - s, be - bs) for bs, _, be in base)
-        out.append((kind, int(hit), shape(text[s:e]), features(text, s, e)))
-    for s, rank, e in base[: most // 4]:
-        near = corrupted(text[max(0, s - 60) : e + 20], s - max(0, s - 60), rank, e - max(0, s - 60))
-        known = base_spans(near)
-        for cs, kind, ce in candidates(near):
-            if not any(bs < ce and cs < be for bs, _, be in known):
-                out.append((kind, 0, "", features(near, cs, ce)))
+    known = Spans(base)
+    for s, kind, e in spread(candidates(text), most):
+        hit = any((min(e, be) - max(s, bs)) * 2 >= max(e - s, be - bs) for bs, _, be in known.over(s, e))
+        if hit or kind or "@" in text[s:e]:
+            out.append((kind, int(hit), shape(text[s:e]), features(text, s, e)))
+    for s, rank, e in spread(base, most // 4):
+        low, after = max(0, s - 60), text[e : e + 20]
+        near = corrupted(text[low:e] + after, s - low, rank, e - low)
+        left = Spans(base_spans(near))
+        out += [(kind, 0, "", features(near, cs, ce)) for cs, kind, ce in candidates(near) if not left.touched(cs, ce)]
+        for other in rewritten(text, s, rank, e):
+            near, at = text[low:s] + other + after, s - low
+            out += [(kind, 1, shape(other), features(near, cs, ce)) for cs, kind, ce in candidates(near) if cs == at and ce == at + len(other)]
     return out
 
 
@@ -175,9 +219,9 @@ class Judge:
         rows, where = [], []
         if self.trees is not None:
             for i, t in enumerate(texts):
-                base = found[i]
+                base = Spans(found[i])
                 for s, kind, e in candidates(t):
-                    if self.thresholds[kind] <= 1 and not any(bs < e and s < be for bs, _, be in base):
+                    if self.thresholds[kind] <= 1 and not base.touched(s, e):
                         rows.append(features(t, s, e))
                         where.append((i, s, kind, e))
         more: dict[int, list] = {}
@@ -185,8 +229,12 @@ class Judge:
             p = self.trees.probability(np.array(rows, np.float64))
             for k in np.argsort(-p, kind="stable"):
                 i, s, kind, e = where[k]
-                if p[k] >= self.thresholds[kind] and not any(x < e and s < y for x, _, y in more.get(i, [])):
-                    more.setdefault(i, []).append((s, 4 + kind, e))
+                if p[k] < self.thresholds[kind]:
+                    continue
+                taken = more.setdefault(i, [])  # sorted and apart
+                after = bisect_right(taken, (s, 9, 0))
+                if not (after and taken[after - 1][2] > s) and not (after < len(taken) and taken[after][0] < e):
+                    insort(taken, (s, 4 + kind, e))
         return [(b, sorted(b + more.get(i, []))) for i, b in enumerate(found)]
 
 
@@ -210,14 +258,14 @@ def fit(rows: list[tuple[int, int, str, list[float]]], precision: float = 0.98)
     return Judge(trees, tuple(thresholds))
 
 
-def train(docs: DataFrame, most_docs: int = 20_000, most_rows: int = 60_000, precision: float = 0.98) -> Judge:
+def train(docs: DataFrame, most_docs: int = 20_000, most_rows: int = 60_000, precision: float = 0.98, most_each: int = 200) -> Judge:
     """docs: doc_id, text."""
     keys = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)  # bounded by most_docs
     sample = docs.join(F.broadcast(keys), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches_by_bytes(batches, 0, 4 << 20):
-            rows = [r for t in b.column(0).to_pylist() for r in examples(t or "")]
+            rows = [r for t in b.column(0).to_pylist() for r in examples(t or "", most_each)]
             if rows:
                 kind, label, form, values = zip(*rows)
                 order = [zlib.crc32(repr(v).encode()) for v in values]
