@@ -19,36 +19,47 @@ _made: dict[str, SparkSession] = {}
 def workspace(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder set.
+    Only where the whole of Spark runs on this machine and no folder is named (local tests) is a temporary folder set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlspark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
-def _remove_tables() -> None:
-    for path, spark in _made.items():
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the workspace that is removed by ``release`` or at the end of the program."""
+    path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Remove the tables made so far (of one session); for drivers that live long, to be called when results have been read."""
+    for path, owner in list(_made.items()):
+        if spark is not None and owner is not spark:
+            continue
+        del _made[path]
         try:
-            jvm, jsc = spark._jvm, spark.sparkContext._jsc
+            jvm, jsc = owner._jvm, owner.sparkContext._jsc
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is gone; the folder's owner clears it
-            return
+            continue
 
 
-atexit.register(_remove_tables)
+atexit.register(release)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the workspace and read it back: cuts lineage, survives lost executors, and has a known size."""
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
-    _made[path] = spark
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,7 +4,10 @@ Reading cuts files at the magic that begins a record.  Since a payload may hold
 a task emits it with its successor, the offset that its declared length leads to.  Candidates that lead straight to the next one in a
 task's range form a run.  From each file's start, pointer jumping over runs marks the runs that the chain enters; a candidate
 is a record if its run is entered at or before it.  All else is payload.  A record whose payload holds the magic is put together
-from its stretches in a second read of just those.
+from its stretches in a second read of the archives, of which only the stretches that are asked for go on; they are known by their file and SHA-256, so it
+doesn't matter how either read cuts the files into tasks.
+
+``round_trip`` fails if fewer or more records are read than were written, or if a payload doesn't have the size and digest that its header says.
 
 Archives are one file a writing task (``most_records`` a file at most), so lost tasks are written anew.  Of equal payloads of at least
 ``least`` bytes the one with the largest page_id is a response and the others revisit it without payload.  Equal means equal size and SHA-256.
@@ -18,13 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stored, workspace
+from .common import batches_by_bytes, new_path, stored
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -88,25 +90,25 @@ def _record(fields: dict[bytes, bytes], payload: bytes) -> tuple:
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """(data, file, block): what stands between two magics, in the order of the file within each block."""
+    """(data, file, block, sha): what stands between two magics, in the order of the file within each block."""
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("data"), *meta)
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("data"), *meta, F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("sha"))
 
 
 def _placed(batches):
     """Each segment with its distance from the block's first one."""
     where, at = None, 0
     for b in batches_by_bytes(batches, 0):
-        for data, file, block in zip(*(c.to_pylist() for c in b.columns)):
+        for data, file, block, sha in zip(*(c.to_pylist() for c in b.columns)):
             if (file, block) != where:
                 where, at = (file, block), 0
-            yield file, block, at, data
+            yield file, block, at, data, sha
             at += len(data) + len(MAGIC)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, run, exit, closed, and the fields of a closed record): what each task sees in its ranges."""
-    kinds = [("file", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("size", pa.int64()), ("span", pa.int64()), ("run", pa.int64()), ("closed", pa.bool_()), *FIELDS]
+    kinds = [("file", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("size", pa.int64()), ("sha", pa.binary()), ("span", pa.int64()), ("run", pa.int64()), ("closed", pa.bool_()), *FIELDS]
 
     def run(batches):
         out, now, streak, before = [], None, 0, False
@@ -114,7 +116,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], [k for k, _ in kinds])
 
-        for file, block, rel, data in _placed(batches):
+        for file, block, rel, data, sha in _placed(batches):
             if (file, block) != now or not before:
                 streak = streak + 1 if (file, block) == now else 0
                 now = file, block
@@ -122,7 +124,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             span = head[0] + int(head[1][b"content-length"]) + len(END) if head else None
             before = span == len(data)
             fields = _record(head[1], data[head[0] : span - len(END)]) if before else (None,) * len(FIELDS)
-            out.append((file, block, rel, len(data), span, streak, before, *fields))
+            out.append((file, block, rel, len(data), sha, span, streak, before, *fields))
             if len(out) >= 5000:
                 yield emit()
                 out = []
@@ -130,7 +132,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             yield emit()
 
     found = stored(
-        _segments(spark, path).mapInArrow(run, f"file string, block long, rel long, size long, span long, run long, closed boolean, {FIELDS_SQL}"), "warc-segments"
+        _segments(spark, path).mapInArrow(run, f"file string, block long, rel long, size long, sha binary, span long, run long, closed boolean, {FIELDS_SQL}"), "warc-segments"
     )
     length = found.groupBy("file", "block").agg((F.max(F.struct("rel", "size"))).alias("last"))
     length = length.select("file", "block", (F.col("last.rel") + F.col("last.size") + len(MAGIC)).alias("length"))
@@ -171,10 +173,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if parts.isEmpty():
         return whole
 
-    def run(batches):
-        for file, block, rel, data in _placed(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([rel], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "rel", "data"])
-
     def assemble(batches):
         for b in batches:
             rows = []
@@ -185,21 +183,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), FIELDS)], names)
 
-    pieces = _segments(spark, path).mapInArrow(run, "file string, block long, rel long, data binary").join(parts, ["file", "block", "rel"])
+    asked = parts.select("file", "sha").distinct()
+    data = _segments(spark, path).select("file", "sha", "data").join(asked, ["file", "sha"], "left_semi").dropDuplicates(["file", "sha"])
+    lost = F.raise_error(F.lit("a stretch of a record was not read again"))
+    pieces = parts.join(data, ["file", "sha"], "left").select("file", "at", "owner", F.coalesce("data", lost.cast("binary")).alias("data"))
     pieces = pieces.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("stretches"))
     return whole.union(pieces.select("stretches").mapInArrow(assemble, FIELDS_SQL))
 
 
 def _parts(found: DataFrame, good: DataFrame) -> DataFrame:
-    """(file, block, rel, at, owner): the segments of records whose payload holds the magic."""
+    """(file, at, sha, owner): the segments of records whose payload holds the magic."""
     marks = found.join(good.select("file", "at", F.lit(True).alias("good")), ["file", "at"], "left")
     upto = Window.partitionBy("file").orderBy("at")  # a short row a record of a file, of which a file has a bounded number
     own = F.last(F.when(F.col("good"), F.struct("at", "closed")), ignorenulls=True).over(upto)
-    return marks.withColumn("own", own).where("not own.closed").select("file", "block", "rel", "at", F.col("own.at").alias("owner"))
+    return marks.withColumn("own", own).where("not own.closed").select("file", "at", "sha", F.col("own.at").alias("owner"))
 
 
 def round_trip(pages: DataFrame, least: int = 1000, most_records: int = 100_000) -> DataFrame:
-    """Write ``pages`` to archives in the workspace and read them back."""
-    path = f"{workspace(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    """Write ``pages`` to archives in the workspace and read them back; fails where what is read is not what was written."""
+    path = new_path(pages.sparkSession, "warc")
     write(pages, path, least, most_records)
-    return read(pages.sparkSession, path)
+    out = stored(read(pages.sparkSession, path), "warc-read")
+    if (n := out.count()) != (m := pages.count()):
+        raise RuntimeError(f"{m} records were written and {n} read")
+    return out.where(F.when(F.col("verified"), True).otherwise(F.raise_error(F.lit("a payload is not what its header says")).cast("boolean")))
