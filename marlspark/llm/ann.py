@@ -3,6 +3,7 @@
 A vector is represented by its nearest pivots in order of nearness.  The index has one row per block of vectors, with an inverted file: for each pivot the
 block's vectors that have it among their nearest ``prefix`` pivots, and its rank there.  A query goes through the files of its own
 nearest pivots and adds up, for each vector met, the footrule distance of the two prefixes (a pivot that one of them lacks counts as rank ``prefix``).
+With 1024 pivots and prefixes of 48 that is about two postings a vector (prefix squared over pivots), where a distance takes as many steps as a vector has components.
 The share ``rerank`` of a block with the smallest footrule distances, never fewer than ``least``, is measured exactly in double
 precision.  With rerank=1 every vector of a block is measured, so the result is exact.
 
@@ -10,7 +11,7 @@ Equal vectors are indexed once, with their k + 1 smallest ids, which is all that
 distinct vectors with the smallest hashes, a bounded sample; every vector is indexed.  Blocks of queries meet blocks of the index in lanes: a block
 of queries is sent once a lane, and each pair of blocks yields at most k rows a query.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor do
+Defined results: vectors that are null, zero, of another length than most (of two lengths equally frequent the larger counts), or that hold null or non-finite components take no part, nor do
 rows with a null id; repeated rows count once; a query's own id is never in its list; with fewer than k candidates all are returned; ties go to the
 smaller id; an empty table gives an empty table; other columns are not read.
 """
@@ -27,7 +28,8 @@ from .common import shuffle_partitions, stored
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec) of the rows that take part."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec")).where("vec_id is not null and vec is not null")
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec")).where("vec_id is not null and vec is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(finite & F.exists("vec", lambda x: x != 0))
     common = v.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
@@ -43,7 +45,7 @@ def folded(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -100,20 +102,19 @@ def query_blocks(queries: DataFrame, size: int) -> DataFrame:
 
 def footrule_candidates(query: np.ndarray, at: np.ndarray, vec: np.ndarray, rank: np.ndarray, n: int, prefix: int, width: int) -> np.ndarray:
     """The ``width`` vectors of a block nearest to the query's prefix by footrule, ties to the earlier; those that share no pivot come last."""
-    # what sharing a pivot takes off the distance of two prefixes without a common pivot
-    gain = np.zeros(n, np.int32)
-    for r, p in enumerate(query):
-        where = slice(at[p], at[p + 1])
-        theirs = rank[where].astype(np.int32)
-        gain[vec[where]] += (prefix - r) + (prefix - theirs) - np.abs(theirs - r)
     if width >= n:
         return np.arange(n)
+    # what sharing a pivot takes off the distance of two prefixes without a common pivot
+    stretches = list(map(slice, at[query].tolist(), at[query + 1].tolist()))
+    mine = np.repeat(np.arange(prefix), at[query + 1] - at[query])
+    theirs = np.concatenate([rank[w] for w in stretches]).astype(np.int64)
+    gain = np.bincount(np.concatenate([vec[w] for w in stretches]), 2 * (prefix - np.maximum(mine, theirs)), n)
     return np.argpartition(-gain, width)[:width]
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-    pivots: int = 256, prefix: int = 96, rerank: float = 0.1, least: int = 256, block: int = 8192,
+    pivots: int = 1024, prefix: int = 48, rerank: float = 0.08, least: int = 256, block: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` by Euclidean distance; both tables have the same columns."""
     spark = vectors.sparkSession
@@ -122,7 +123,8 @@ def search(
     rows = distinct.select("vec").orderBy(F.xxhash64("vec")).limit(pivots).collect()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = np.array([r["vec"] for r in rows], np.float32)
+    number = np.float32 if dict(distinct.dtypes)["vec"] == "array<float>" else np.float64
+    chosen = np.array([r["vec"] for r in rows], number)
     prefix = min(prefix, len(chosen))
     lanes = shuffle_partitions(spark)
     index = build_index(distinct, chosen, prefix, block).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
@@ -133,7 +135,7 @@ def search(
     def run(batches):
         for b in batches:
             for n, *data in zip(*(c.to_pylist() for c in b.columns)):
-                kinds = (np.float32, np.int64, np.int32, np.int64, np.int32, np.int16, np.int64, np.float32)
+                kinds = (number, np.int64, np.int32, np.int64, np.int32, np.int16, np.int64, number)
                 x, ids, n_ids, at, vec, rank, q_ids, q = (np.frombuffer(d, t) for d, t in zip(data, kinds))
                 x, q = x.reshape(-1, dim).astype(np.float64), q.reshape(-1, dim)
                 first = np.concatenate([[0], np.cumsum(n_ids)])
