@@ -1,11 +1,10 @@
 """Harmonic packing of documents into token sequences of a fixed capacity.
 
-A document's ids are cut into full sequences, then powers of two down to ``capacity / 16``, then one rest.  A piece
-longer than capacity/(k+1) and at most capacity/k belongs to class k, and every bin of class k takes exactly k pieces.
-The cut pieces fill their classes' bins without any padding; a bin of class k >= 16 of the rests lacks at most
-one part in k+1.  Each task fills its own bins from its own split, so no shuffle is needed, and what it holds is
-bounded: less than one open bin a class.  What its open bins hold at the end of the split is laid end to end and
-cut at the capacity; the very last such stretch is cut into powers of two, which need no padding.
+A document's ids are cut into full sequences and one rest.  A rest longer than capacity/(k+1) and at most capacity/k belongs to class k, and every bin of
+class k takes exactly k of them.  What such a bin then lacks, less than capacity/(k+1) and a quarter of it on average where lengths are even, is cut off the front of the
+next rests that come; what is left of those goes to its own class.  So each class has its fixed number of documents and bins have no padding.  Each task fills its
+own bins from its own split, so no shuffle is needed, and what it holds is bounded: less than one open bin a class and one that is being topped up.  What
+its open bins hold at the end of the split is laid end to end and cut at the capacity; the very last such stretch is cut into powers of two, which need no padding.
 
 Defined results: a null or empty text has just the end id; a very long text is cut like any other; repeated rows
 are packed as often as they occur; an empty table gives an empty table; other columns are not read.
@@ -106,18 +105,6 @@ class ChunkEncoder:
         return out
 
 
-def cut_lengths(n: int, capacity: int) -> list[int]:
-    """The lengths of the pieces of a document of ``n`` ids, in its order."""
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity // 2
-    while size >= max(1, capacity // 16):
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return out + [rest] * (rest > 0)
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset in the sequence, and padded: the length that the sequence is padded to."""
@@ -129,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 40
         serial, open_bins, done = 0, {}, []
+        topped, room = [], 0  # the bin that is being topped up, and what it lacks
 
         def close(pieces: list[tuple], padded: int = 0) -> None:
             nonlocal serial
@@ -149,17 +137,28 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(text_bytes(b.column(1)))):
                 ids += end
                 total, start = len(ids) // 4, 0
-                for n in cut_lengths(total, capacity):
-                    k = capacity // n
+                while total - start >= capacity:
+                    close([(doc, start, ids[4 * start : 4 * (start + capacity)], total)], capacity)
+                    start += capacity
+                if room and start < total:
+                    take = min(room, total - start)
+                    topped.append((doc, start, ids[4 * start : 4 * (start + take)], total))
+                    start, room = start + take, room - take
+                    if not room:
+                        close(topped, capacity)
+                if start < total:  # then no bin is being topped up
+                    k = capacity // (total - start)
                     bin_ = open_bins.setdefault(k, [])
-                    bin_.append((doc, start, ids[4 * start : 4 * (start + n)], total))
+                    bin_.append((doc, start, ids[4 * start :], total))
                     if len(bin_) == k:
-                        close(open_bins.pop(k), capacity)
-                    start += n
+                        topped = open_bins.pop(k)
+                        room = capacity - sum(len(p[2]) for p in topped) // 4
+                        if not room:
+                            close(topped, capacity)
             yield emit()
         encoder.forget()
 
-        rest = [p for k in sorted(open_bins) for p in open_bins[k]]
+        rest = (topped if room else []) + [p for k in sorted(open_bins) for p in open_bins[k]]
         left = sum(len(p[2]) // 4 for p in rest)
         sizes = [capacity] * (left // capacity) + [1 << i for i in range(capacity.bit_length() - 1, -1, -1) if (left % capacity) >> i & 1]
         now: list[tuple] = []
