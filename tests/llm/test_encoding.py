@@ -65,10 +65,20 @@ def test_chunks_are_encoded_as_in_the_whole_text():
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in texts[i : i + 40]])] == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + 40]]
 
 
-@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 4095, 4096, 4097, 20_000])
-def test_cut_lengths(n):
-    cut = packing.cut_lengths(n, 4096)
-    assert sum(cut) == n and all(x > 0 for x in cut) and all(x & (x - 1) == 0 for x in cut[:-1])
+def test_classes_hold_their_number_of_documents(spark):
+    """Every class occurs, and a full bin holds as many rests of its class as the class says, in front of what tops it up."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, "x " * int(2 ** rng.uniform(4, 12.2))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    bins, seen = defaultdict(list), set()
+    for r in packing.pack(docs, WORD).collect():
+        bins[r["sequence_id"]].append(r)
+    full = [sorted(b, key=lambda r: r["offset"]) for b in bins.values() if sum(r["length"] for r in b) == 4096]
+    assert len(full) > 0.9 * len(bins)
+    for b in full:
+        k = 4096 // b[0]["length"]
+        if all(4096 // r["length"] == k and r["start"] + r["length"] == r["doc_tokens"] for r in b[:k]):
+            seen.add(k)
+    assert set(range(1, 12)) <= seen
 
 
 @pytest.mark.parametrize("which", ["tables", "awkward", "empty"])
@@ -110,6 +120,25 @@ def expected(data):
         yield i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None, True
 
 
+def test_reads_that_cut_files_otherwise(spark, monkeypatch):
+    """The second read of an archive may be cut into other tasks than the first."""
+    first, sizes = warc._segments, iter(["1k", "3k", "700"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def segments(s, path):
+        s.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return first(s, path)
+
+    monkeypatch.setattr(warc, "_segments", segments)
+    try:
+        p = pages(spark)
+        p = p.where("html is null or length(html) < 100000")
+        want = list(expected([(r["page_id"], r["html"]) for r in p.select("page_id", "html").collect()]))
+        assert multiset(rows(warc.round_trip(p))) == multiset(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @pytest.mark.parametrize("block", [None, "64k", "1k"])
 def test_archives(spark, sf_dir, block):
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -146,6 +175,28 @@ def test_nearest_neighbours(spark):
     assert exact == want
 
 
+def test_recall_at_the_parameters_of_the_query():
+    """50,000 vectors in blocks as the operator makes them, judged by its own candidates."""
+    import inspect
+
+    p = {k: v.default for k, v in inspect.signature(ann.search).parameters.items()}
+    rng, n, found = np.random.default_rng(3), 50_000, []
+    centres = rng.normal(size=(40, 64))
+    x = (centres[rng.integers(0, 40, n)] * rng.uniform(0, 0.4, (n, 1)) + rng.normal(size=(n, 64))).astype(np.float32)
+    pivots, q = x[rng.choice(n, p["pivots"], replace=False)], x[:100]
+    asked = ann.permutations(q, pivots, p["prefix"])
+    for low in range(0, n, p["block"]):
+        perm = ann.permutations(x[low : low + p["block"]], pivots, p["prefix"])
+        order = np.argsort(perm.reshape(-1), kind="stable")
+        at = np.searchsorted(perm.reshape(-1)[order], np.arange(len(pivots) + 1))
+        width = min(len(perm), max(p["least"], int(np.ceil(p["rerank"] * len(perm)))))
+        found.append([low + ann.footrule_candidates(a, at, order // p["prefix"], order % p["prefix"], len(perm), p["prefix"], width) for a in asked])
+    d = ((q.astype(float)[:, None] - x[None].astype(float)) ** 2).sum(-1) if n * 100 * 64 < 1e8 else (q.astype(float) ** 2).sum(1)[:, None] - 2 * q.astype(float) @ x.T.astype(float) + (x.astype(float) ** 2).sum(1)
+    near = [[j for j in np.argsort(d[i]) if j != i][:10] for i in range(100)]
+    got = [set(np.concatenate([f[i] for f in found]).tolist()) for i in range(100)]
+    assert np.mean([len(g.intersection(w)) / 10 for g, w in zip(got, near)]) >= 0.9
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.0, 0.0]), (8, [None, 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0]), (100, [2.0, 0.0]), (200, [0.0, 0.0])]

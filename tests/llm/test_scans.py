@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -58,6 +59,22 @@ def test_secrets(spark, sf_dir):
     assert multiset(rows(got)) == multiset(want)
 
 
+def test_secrets_of_a_long_list(spark):
+    """A text of five million characters with 90,000 matches takes seconds, and the result is that of the brute force."""
+    rng = random.Random(21)
+    text = " ".join(f"{rng.getrandbits(128):032x}" if i % 3 else f"note {i} of the é list, " + "w" * 40 for i in range(135_000))
+    docs = spark.createDataFrame([(5, text), (6, "token = abcdef12 " + text[:50_000] + " key " + "Zx9aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in secrets.report(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - began < 90
+    base = secret_base(text)
+    assert len(text) > 4_900_000 and got[5]["n_hex"] == len(base) == 90_000
+    assert got[5]["base_sha256"] == hashlib.sha256(listed(base, secrets.KINDS).encode()).hexdigest()
+    assert out[5] == re.sub(r"[0-9a-f]{24,}", "[SECRET]", text)
+    assert out[6].startswith("[SECRET] [SECRET]" if text[:32].isalnum() else "[SECRET] note 0") and not secret_base(out[6].replace("[SECRET]", ""))
+
+
 def test_weak_parts_alone_are_not_reported():
     key = "Abcdefgh1jklmnopqrstuvwxyz0123456789ABCD"
     assert secret_spans(key)[1] == []
@@ -122,6 +139,38 @@ def test_trees_find_what_the_patterns_leave_out():
     assert base and found[: len(base)] == base
 
 
+def test_planted_personal_data(spark):
+    """Addresses and numbers that are spelled otherwise are found in texts of the tables, and little else is."""
+    rng = random.Random(9)
+    docs, data, want = documents(spark, "/root/testdata/sf0.01"), [], {}
+    for i, text in by_text(docs.where("length(text) between 200 and 2000")):
+        words = text.split(" ")
+        if i % 2:
+            name, host = "".join(rng.choice("abcdefgh") for _ in range(7)), rng.choice(["example", "corp-mail", "uni"])
+            form = rng.choice([f"{name} [at] {host} [dot] com", f"{name} (at) {host}.org"])
+            words.insert(len(words) // 2, form)
+            want[i] = form
+        data.append((i, " ".join(words)))
+    judge = pii.train(documents(spark, "/root/testdata/sf0.1"))
+    planted = spark.createDataFrame(data, "doc_id long, text string")
+    texts, found, right, extra = dict(data), {r["doc_id"]: r for r in pii.find(planted, judge=judge).collect()}, 0, 0
+    for i, r in found.items():
+        more = [texts[i][s["start"] : s["end"]] for s in r["spans"] if s["rank"] == 4]
+        right += want.get(i) in more
+        extra += len([m for m in more if m != want.get(i)])
+    assert len(want) >= 100 and right >= 0.9 * len(want) and extra <= 0.05 * right
+
+
+def test_personal_data_of_a_long_list():
+    judge = pii.fit([r for i in range(300) for r in pii.examples(f"call +44 2079 {10000 + i} or write to a{i}@b{i % 7}.com, see section {10_000_000 + 977 * i} of it")])
+    text = " ".join(f"u{i}@h{i % 97}.example.com 0044 {i % 9000 + 1000} {i % 90000 + 10000}" for i in range(60_000))
+    began = time.monotonic()
+    base, found = judge.spans([text])[0]
+    assert time.monotonic() - began < 60 and base == private_base(text) and set(base) <= set(found)
+    ends = [(s, e) for s, r, e in found if r > 3]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -150,6 +199,73 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def brute_ratios(data, cls):
+    """The log-ratio of each unit of (id, text) by the formula, with plain dictionaries."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    n, fives = [Counter(), Counter()], set()
+    for i, text in data:
+        for u in set(u for us in toxicity.unit_lists(text) for u in us):
+            w = toxicity.whole(u)
+            fives.update(w[max(0, j - 4) : j + 1] for j in range(1 if w[0] == toxicity.START else 4, len(w)))
+            if cls.get(i) is not None:
+                n[cls[i]].update(toxicity.grams(u))
+    two, four, d = {f[-2:] for f in fives}, Counter(f[1:] for f in fives if len(f) == 5), toxicity.SHARED_DISCOUNT
+    one = Counter(t[1] for t in two)
+    after = defaultdict(list)
+    for g, k in four.items():
+        after[g[:3]].append(k)
+
+    def shared(g):
+        b = (max(one[g[-1]] - d, 0) + d * len(one) / (len(one) + 1)) / sum(one.values())
+        if len(g) > 4:
+            ks = after[g[-4:-1]]
+            b = (max(four[g[-4:]] - d, 0) + d * len(ks) * b) / sum(ks)
+        return b
+
+    seen = [defaultdict(list), defaultdict(list)]
+    for c in (0, 1):
+        for g, k in n[c].items():
+            seen[c][g[:-1]].append(k)
+
+    def of_gram(g):
+        h = g[:-1]
+        if not (seen[0][h] or seen[1][h]):
+            return 0.0
+        if not (n[0][g] or n[1][g]):  # then only what the discount freed counts
+            p = [sum(min(k, toxicity.DISCOUNT) for k in seen[c][h]) / sum(seen[c][h]) if seen[c][h] else 1.0 for c in (0, 1)]
+        else:
+            b = shared(g)
+            p = [(max(n[c][g] - toxicity.DISCOUNT, 0) + sum(min(k, toxicity.DISCOUNT) for k in seen[c][h]) * b) / sum(seen[c][h]) if seen[c][h] else b for c in (0, 1)]
+        return log(p[1] / p[0])
+
+    return lambda u: sum(map(of_gram, toxicity.grams(u)))
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(12)
+    words = ["wall", "house", "walls", "housewall", "vermin", "vermins", "tree", "trees.", "(tree", "\u4eca\u5929\u5f88\u597d", "x" * 200, "\U0001f600!", "q"]
+    data = [(i, None if i == 7 else " ".join(rng.choices(words[:-1] if i % 3 else words, k=rng.randrange(25)))) for i in range(120)]
+    labels = [(i, i % 2) for i in range(90)]
+    docs, table = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    of = brute_ratios(data, {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)})
+    want = {}
+    for i, text in data:
+        r = [of(u) for us in toxicity.unit_lists(text) for u in us]
+        want[i] = 1000 * np.mean([np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(np.clip(x, -30, 30))) for x in r]) if r else 0.0
+    assert max(want.values()) > 0 > min(want.values())
+    for most in (1 << 25, 0):  # ratios sent to the tasks, and met by joins
+        got = {r["doc_id"]: r for r in toxicity.score(docs, table, most_ratios=most).collect()}
+        assert len(got) == len(data) and all(r["evidence"] == pytest.approx(want[i], rel=1e-4, abs=1e-5) for i, r in got.items())
+
+
+def test_toxicity_of_a_long_text_is_cut_nowhere(spark):
+    text = "house " * 90_000 + "murderer " * 3
+    assert [u for us in toxicity.unit_lists(text) for u in us] == text.split()
+    assert len(list(toxicity.unit_lists(text))) > 1
+
+
 ORDINARY = "the wall and a door of some house near that river with old trees under grey clouds over our quiet town".split()
 
 
