@@ -94,3 +94,16 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named c0, c1, ...: whatever an operator adds can't clash; ``toDF(*docs.columns)`` undoes it."""
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, shares: int = 4096) -> DataFrame:
+    """Inner join of many rows with one row a key, where ``count`` says how many rows of ``left`` a key has.
+
+    Keys with more than one part in ``shares`` of the rows, so fewer than ``shares``, are sent to every task; their rows stay where they are and aren't shuffled into one.
+    """
+    from pyspark.sql import functions as F
+
+    most = left.count() // shares
+    hot = F.broadcast(right.where(F.col(count) > most))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= most), keys)
+    return left.join(hot, keys).unionByName(cold)

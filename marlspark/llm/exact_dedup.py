@@ -3,13 +3,15 @@
 1. One scan gives each text's 64-bit hash, SHA-256 and size, written to the workspace.
 2. The directory starts with one bucket.  While a bucket's distinct texts are larger than its capacity it is split by
    the next bit of the hash, and the directory doubles when the bucket was as deep as the directory.
-3. Owner tasks each take buckets, that is, ranges of hash prefixes.  The rows of a bucket arrive ordered by hash; texts with
+3. Owner tasks each take buckets next to each other, that is, a range of hashes, of about equal bytes.  The rows of a bucket arrive ordered by hash; texts with
    one hash form a chain, and a text joins a link of the chain only when the bytes are equal.  The chains are
    written as the index.
 4. Rows look up their link by hash and SHA-256.
 
 Copies are folded within each batch before they are shuffled, so a text that holds a third of all rows reaches its
-owner as one entry a batch.  The counts that shape the directory come as one row a hash prefix, at most 2**max_depth.
+owner as one entry a batch, and rows of groups with a noticeable share of all rows look up their link where they are.  The counts that shape the directory
+come as one row a hash prefix: four prefixes a bucket, at most 2**MOST_DEPTH; where that many buckets of ``capacity`` bytes don't hold the distinct texts, the
+capacity grows instead.  A bucket is never held as a whole, so its size only says how evenly owners are loaded.
 
 Defined results: null counts as the empty text; a null doc_id counts as smaller than any other, and keep_id is null
 only where a whole group has null ids; rows that repeat both doc_id and text are all marked kept if their id is kept; an empty
@@ -27,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, prepared, shuffle_partitions, stored, text_bytes
+from .common import batches_by_bytes, hot_join, prepared, shuffle_partitions, stored, text_bytes
 
-ENTRY = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("keep_id", pa.int64()), ("text", pa.binary())])
+ENTRY = pa.schema([("owner", pa.int32()), ("bucket", pa.int64()), ("h", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("keep_id", pa.int64()), ("text", pa.binary())])
 LINK = pa.schema([("bucket", pa.int64()), ("h", pa.int64()), ("link", pa.int32()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("group_size", pa.int64()), ("keep_id", pa.int64())])
 
 
@@ -38,6 +40,10 @@ def normalised(column: pa.Array) -> list[bytes]:
     return text_bytes(pc.ascii_lower(column.fill_null("")))
 
 
+#: Bits of the hash that the directory looks at, at most.
+MOST_DEPTH = 22
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -62,7 +68,7 @@ class Directory:
     """An extendible-hash directory: ``slots[prefix]`` is the bucket of a hash that begins with these ``depth`` bits."""
 
     def __init__(self, sizes: dict[int, int], max_depth: int, capacity: int):
-        """sizes: bytes by prefix of ``max_depth`` bits."""
+        """sizes: bytes by prefix of ``max_depth`` bits; places: the share of all bytes before each bucket."""
         total = np.zeros((1 << max_depth) + 1, np.int64)
         for prefix, size in sizes.items():
             total[prefix + 1] = size
@@ -82,6 +88,9 @@ class Directory:
             self.slots[low + span : low + 2 * span] = len(self.local)
             self.local.append(local + 1)
             work += [(2 * prefix, local + 1), (2 * prefix + 1, local + 1)]
+        first = np.zeros(len(self.local), np.int64)
+        first[self.slots[::-1]] = np.arange(len(self.slots))[::-1]  # each bucket's first slot
+        self.places = total[first << (max_depth - self.depth)] / max(1, total[-1])
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
         """h: signed 64-bit hashes."""
@@ -90,19 +99,21 @@ class Directory:
         return self.slots[(h.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)]
 
 
-def directory(prints: DataFrame, max_depth: int, capacity: int) -> Directory:
-    sizes = (
-        prints.groupBy("h").agg(F.max("n_bytes").alias("n_bytes"))
-        .groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("prefix")).agg(F.sum(F.col("n_bytes") + 64).alias("size"))
-    )
-    got = sizes.toArrow()
+def directory(prints: DataFrame, capacity: int) -> Directory:
+    each = prints.groupBy("h").agg((F.max("n_bytes") + 64).alias("size"))
+    total = each.agg(F.sum("size")).first()[0] or 0
+    capacity = max(capacity, total >> (MOST_DEPTH - 2))
+    max_depth = min(MOST_DEPTH, max(1, (total // capacity).bit_length() + 2))
+    got = each.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("prefix")).agg(F.sum("size").alias("size")).toArrow()
     return Directory(dict(zip(got["prefix"].to_pylist(), got["size"].to_pylist())), max_depth, capacity)
 
 
-def entries(docs: DataFrame, index: Directory) -> DataFrame:
-    """One row per distinct text of a batch, with its bucket."""
+def entries(docs: DataFrame, index: Directory, owners: int) -> DataFrame:
+    """One row per distinct text of a batch, with its bucket and the owner of that."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # at most 2**MOST_DEPTH slots of 8 bytes
 
     def run(batches):
+        index = sent.value
         for b in batches_by_bytes(batches, 1):
             chains: dict[int, list[list]] = {}
             for doc, text in zip(b.column(0).to_pylist(), normalised(b.column(1))):
@@ -116,9 +127,11 @@ def entries(docs: DataFrame, index: Directory) -> DataFrame:
             rows = [(h, hashlib.sha256(t).digest(), len(t), n, keep, t) for h, chain in chains.items() for t, n, keep in chain]
             h, *rest = zip(*rows)
             h = np.array(h, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(index.bucket(h)), pa.array(h), *(pa.array(c, f.type) for c, f in zip(rest, list(ENTRY)[2:]))], schema=ENTRY)
+            bucket = index.bucket(h)
+            owner = np.minimum(index.places[bucket] * owners, owners - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(bucket), pa.array(h), *(pa.array(c, f.type) for c, f in zip(rest, list(ENTRY)[3:]))], schema=ENTRY)
 
-    return docs.mapInArrow(run, "bucket long, h long, sha binary, n_bytes long, n long, keep_id long, text binary")
+    return docs.mapInArrow(run, "owner int, bucket long, h long, sha binary, n_bytes long, n long, keep_id long, text binary")
 
 
 def chained(rows: DataFrame) -> DataFrame:
@@ -152,17 +165,18 @@ def chained(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, h long, link int, sha binary, n_bytes long, group_size long, keep_id long")
 
 
-def build_index(docs: DataFrame, prints: DataFrame, max_depth: int = 16, capacity: int = 4 << 20) -> DataFrame:
+def build_index(docs: DataFrame, prints: DataFrame, capacity: int = 4 << 20) -> DataFrame:
     """The index as a table in the workspace: bucket, hash, place in the chain, SHA-256, size, group_size, keep_id."""
-    owned = entries(docs, directory(prints, max_depth, capacity)).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "h")
+    owners = shuffle_partitions(docs.sparkSession)
+    owned = entries(docs, directory(prints, capacity), owners).repartitionById(owners, "owner").sortWithinPartitions("bucket", "h").drop("owner")
     return stored(chained(owned), "exact-index")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_depth: int = 16, capacity: int = 4 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = prepared(docs, id_col, text_col)
     prints = stored(fingerprints(docs), "exact-prints")
-    index = build_index(docs, prints, max_depth, capacity).select("h", "sha", "group_size", "keep_id")
-    return prints.join(index, ["h", "sha"]).select(
+    index = build_index(docs, prints, capacity).select("h", "sha", "group_size", "keep_id")
+    return hot_join(prints, index, ["h", "sha"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
