@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, batches_by_bytes, prepared, stored, text_bytes
+from .common import LOWER_ASCII, batches_by_bytes, hot_join, prepared, stored, text_bytes
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -142,9 +142,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, tile: int = 2048) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (its smallest doc_id)."""
     prints = stored(fingerprints(prepared(docs, id_col, text_col), shingle), "simhash-prints")
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
+    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-groups")
     roots = components(links(groups.select("fp"), radius, tile))
-    of = groups.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    of = groups.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("v", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(of.join(ids, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = stored(of.join(ids, "root").select("fp", "n", "component_id"), "simhash-components")
+    return hot_join(prints, of, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
