@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def lexical_arm(passages: DataFrame, words: list[str], id_col: str = "chunk_id",
     Occurrences are counted by a regular expression inside the scan's stage, so only the matching ids reach the top-k.
     """
     low = F.lower(F.col(text_col))
-    count = lambda w: F.regexp_count(low, F.lit(rf"\b{w}\b"))
+    count = lambda w: F.regexp_count(low, F.lit(rf"\b{re.escape(w)}\b" if w.isalnum() else re.escape(w)))
     hits = passages
     for w in words:
         hits = hits.where(low.contains(w))
@@ -112,3 +114,70 @@ def rerank(ranked: DataFrame, scores: DataFrame, id_col: str = "chunk_id", head:
     s = ranked.join(scores, id_col, "left")
     order = F.row_number().over(Window.orderBy(F.col("rank") > head, F.when(F.col("rank") <= head, -F.col("new_score")).asc_nulls_last(), "rank"))
     return s.select(id_col, order.cast("long").alias("rank"))
+
+
+#: Copy folding: words of a shingle, fewest shingles of a passage, share that makes it a copy (fixed values).
+FOLD_WORDS, FOLD_LEAST, FOLD_SHARE = 5, 12, 0.5
+
+
+def page(ranked: DataFrame, offset: int, limit: int, candidates: int = CANDIDATES, id_col: str = "chunk_id") -> DataFrame:
+    """(id, rank, has_more) of one page of (id, score); pages beyond the candidates are refused, and one row more tells whether there is another page."""
+    if offset < 0 or limit < 1 or offset + limit > candidates:
+        raise ValueError(f"a page must lie within the first {candidates} hits")
+    top = _ranked(ranked.orderBy(F.desc("score"), id_col).limit(offset + limit + 1), id_col)
+    more = top.agg((F.max("rank") > offset + limit).alias("has_more"))
+    return top.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).join(F.broadcast(more)).select(id_col, "rank", "has_more")
+
+
+def set_back(hits: DataFrame, flagged: Column, id_col: str = "chunk_id") -> DataFrame:
+    """(id, rank): flagged hits after all others, each part in its order.  hits: a bounded list of (id, rank, …)."""
+    return hits.select(id_col, F.row_number().over(Window.orderBy(flagged, "rank")).cast("long").alias("rank"))
+
+
+def shingles(text: Column, n: int = FOLD_WORDS) -> Column:
+    """The distinct n-word shingles of a text's lower-case words."""
+    w = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9à-öø-ÿß]+", " "), " "), lambda x: x != "")
+    last = F.size(w) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEAST, share: float = FOLD_SHARE) -> DataFrame:
+    """(id, folded_into): down a bounded list of (id, source_id, rank, text), a hit folds into a kept one of another source.
+
+    It folds when at least ``share`` of its shingles are among those of the kept hits of one other source; into the kept hit of that source which shares
+    most, ties to the better rank.  Short passages never fold.  The shingles shared by pairs of hits come from a join; only the greedy walk, over at most some
+    hundred rows, is one task's.
+    """
+    import pandas as pd
+
+    s = hits.select(id_col, "source_id", "rank", F.explode(shingles(F.col("text"))).alias("s"))
+    size = s.groupBy(id_col, "source_id", "rank").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("own"))
+    all_hits = hits.select(id_col, "source_id", "rank").join(size.select(id_col, "n", "own"), id_col, "left")
+
+    def walk(table: pd.DataFrame) -> pd.DataFrame:
+        kept: dict = {}
+        out = []
+        for r in table.sort_values(["rank", id_col]).itertuples(index=False):
+            own = set(r.own) if r.own is not None else set()
+            into = None
+            if len(own) >= least:
+                best = (0, 0)
+                for source, members in kept.items():
+                    if source != r.source_id and len(own & set().union(*(o for _, _, o in members))) >= share * len(own):
+                        for key, rank, other in members:
+                            mark = (len(own & other), -rank)
+                            if mark > best:
+                                best, into = mark, key
+            if into is None:
+                kept.setdefault(r.source_id, []).append((getattr(r, id_col), r.rank, own))
+            out.append((getattr(r, id_col), into))
+        return pd.DataFrame(out, columns=[id_col, "folded_into"]).astype({"folded_into": "Int64"})
+
+    kind = dict(hits.dtypes)[id_col]
+    return all_hits.groupBy().applyInPandas(walk, f"{id_col} {kind}, folded_into {kind}")
+
+
+def hydrated(ids: DataFrame, chunks: DataFrame, sources: DataFrame, topics: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The wide columns of a page's few ids, joined late: passages, their sources, and their own topics where they have any."""
+    wide = chunks.join(F.broadcast(ids), id_col)
+    return wide.join(sources, "source_id").join(topics, id_col, "left")
