@@ -152,7 +152,7 @@ def ratios(counts: DataFrame, fives: DataFrame) -> DataFrame:
     met = counts.withColumn("h", F.substring("gram", F.lit(1), size - 1))
     free = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
     histories = met.groupBy("h").agg(*(F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)), *(free(f"n{c}").alias(f"f{c}") for c in (0, 1)))
-    full = met.withColumns({"x": last(1), "s4": F.when(size > 4, last(4))}).join(histories, "h").join(ones, "x").join(fours, "s4", "left")
+    full = met.withColumns({"x": last(1), "s4": F.when(size > 4, last(4))}).join(histories, "h").join(F.broadcast(ones), "x").join(fours, "s4", "left")  # ``ones`` has a row a character, fewer than Unicode's 1.2 million
     shared = F.when(F.col("a4").isNull(), F.col("b1")).otherwise(F.col("a4") + F.col("f4") * F.col("b1"))
     p = [F.when(F.col(f"t{c}") > 0, (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + F.col(f"f{c}") * shared) / F.col(f"t{c}")).otherwise(shared) for c in (0, 1)]
     unmet = [F.when(F.col(f"t{c}") > 0, F.col(f"f{c}") / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
