@@ -5,11 +5,12 @@
    sketches are merged by ranges of cells.
 2. A second pass takes up only windows whose counters all say "at least two".  The sketch never counts too little, so no repeated
    window is lost.  Within a chunk of documents all but the first of equal windows are settled at once, so a passage that very many
-   documents share reaches the shuffle once a chunk.  The rest is grouped exactly, by 96 bits of hash, into ranges of hashes.
+   documents share reaches the shuffle once a chunk.  The rest is grouped by 96 bits of hash, 64 and 32 from two hashes of each word that know nothing of each other,
+   into ranges of hashes.  Ranges grow in number with the input, so that a task holds about ``RANGE`` windows at most, whatever the size of the input.
 3. Documents meet the places of their repeated windows and are put together without the covered words.
 
-The merged sketch that each task reads is 2 * 2**log2_cells bits (64 MB at 28), whatever the size of the input.  Over more windows
-than it has cells it sorts out fewer of them, which costs shuffle but never changes the result.
+The merged sketch that each task reads has four cells a window, but 2**log2_cells at most in each of its two rows (64 MB in all at 28).  Over more windows
+than that it sorts out fewer of them, which costs shuffle but never changes the result.
 
 Order: smaller doc_id first (null before all), then the hash of the text, then the place in the text.  Defined results: a null text has
 no words; texts shorter than a window lose nothing; rows that repeat doc_id and text are one document and get equal results; an
@@ -19,6 +20,7 @@ empty table gives an empty table; very long texts are read whole, several chunks
 from __future__ import annotations
 
 import struct
+from array import array
 from itertools import compress
 
 import numpy as np
@@ -29,28 +31,39 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, prepared, shuffle_partitions, stored, text_bytes
 
-#: Odd multipliers of the two window hashes, and of the mixing between them (any odd numbers do).
-A1, A2, MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Odd multipliers of the two window hashes (any odd numbers do).
+A1, A2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 NO_ID = -(1 << 63)
 #: Words that a task counts, or looks up in the sketch, at a time.
 COUNTED, LOOKED_UP = 1 << 20, 1 << 19
+#: Windows of a range, and bytes that a word takes up at least on average, from which the number of windows is guessed.
+RANGE, WORD_BYTES = 1 << 22, 5
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept while there are not too many."""
+    """Two 64-bit hashes of words, kept while there are not too many; a word's number says where its hashes stand."""
+
+    def __init__(self):
+        super().__init__()
+        self.both = array("Q")
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        h = xxhash.xxh3_128_intdigest(word)
+        self.both.extend((h >> 64, h & 0xFFFFFFFFFFFFFFFF))
+        n = self[word] = len(self)
+        return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        """A row of two hashes a word."""
+        if len(self) > 500_000:
+            self.clear()
+            self.both = array("Q")
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.both, np.uint64).reshape(-1, 2)[at]
 
 
 class Windows:
-    """Hashes of all windows of ``size`` words in arrays of word hashes laid end to end."""
+    """Two hashes of all windows of ``size`` words in arrays of word hashes laid end to end."""
 
     def __init__(self, size: int):
         self.size, self.powers = size, {}
@@ -79,8 +92,7 @@ class Windows:
         doc = np.repeat(np.arange(len(docs)), n)
         place = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         at = place + np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]), n)
-        mixed = (words ^ (words >> np.uint64(31))) * np.uint64(MIX)
-        return self._rolled(words, A1)[at], self._rolled(mixed ^ (mixed >> np.uint64(29)), A2)[at], doc, place
+        return self._rolled(words[:, 0], A1)[at], self._rolled(words[:, 1], A2)[at], doc, place
 
 
 def _pieces(batches, size: int, most: int):
@@ -91,9 +103,9 @@ def _pieces(batches, size: int, most: int):
             words = text.split()
             if len(words) < size:
                 continue
-            key, array = (NO_ID if doc is None else doc, th), hashes.of(words)
-            for i in range(0, len(array) - size + 1, most):
-                part = array[i : i + most + size - 1]
+            key, hashed = (NO_ID if doc is None else doc, th), hashes.of(words)
+            for i in range(0, len(hashed) - size + 1, most):
+                part = hashed[i : i + most + size - 1]
                 chunk.append((key, i, part))
                 held += len(part)
                 if held >= most:
@@ -210,11 +222,9 @@ def _by_range(table: np.ndarray, doc: np.ndarray, place: np.ndarray, ranges: int
     return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["range", "data"])
 
 
-def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
-    """(range, data): the places of windows whose words also start earlier, packed by range of documents."""
-    spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, size, log2_cells))
-    parts = shuffle_partitions(spark)
+def repeated_windows(docs: DataFrame, size: int, log2_cells: int, parts: int) -> DataFrame:
+    """(range, data): the places of windows whose words also start earlier, packed by one of ``parts`` ranges of documents."""
+    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, log2_cells))
 
     def candidates(batches):
         windows, bits = Windows(size), sketch.value
@@ -275,9 +285,10 @@ def repeated_windows(docs: DataFrame, size: int, log2_cells: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, size: int = 20, id_col: str = "doc_id", text_col: str = "text", log2_cells: int = 28) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, text (the kept words, joined by one space)."""
     docs = prepared(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = stored(repeated_windows(docs, size, log2_cells), "repeated-windows")
-
-    ranges = shuffle_partitions(docs.sparkSession)
+    windows = (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // WORD_BYTES  # a guess that sizes tables and nothing else
+    log2_cells = min(log2_cells, max(16, (4 * windows).bit_length()))
+    ranges = max(shuffle_partitions(docs.sparkSession), windows // RANGE)
+    found = stored(repeated_windows(docs, size, log2_cells, ranges), "repeated-windows")
 
     def assemble(batches):
         now, places = None, {}
