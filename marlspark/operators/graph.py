@@ -29,19 +29,16 @@ def neighbourhood(edges: DataFrame, node: str, limit: int) -> DataFrame:
 def contradictions(edges: DataFrame) -> DataFrame:
     """(a, b, reason) of edges with the same ends: one relation with opposite stances, or opposite relations that are both unopposed.
 
-    edges: edge_id, src, dst, relation, stance.  Only ends with more than one edge are joined.
+    edges: edge_id, src, dst, relation, stance.  The relation that could contradict is part of each join's key, so edges that can't contradict never meet.
     """
-    crowded = edges.groupBy("src", "dst").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    e = edges.join(crowded, ["src", "dst"], "left_semi")
-    x, y = (e.select("src", "dst", *(F.col(c).alias(f"{p}_{c}") for c in ("edge_id", "relation", "stance"))) for p in "xy")
-    same = (F.col("x_relation") == F.col("y_relation")) & (F.col("x_stance") != F.col("y_stance"))
-    pairs = [p for pair in OPPOSITE for p in (pair, pair[::-1])]
-    opposite = F.lit(False)
-    for p, q in pairs:
-        opposite = opposite | ((F.col("x_relation") == p) & (F.col("y_relation") == q))
-    opposite = opposite & (F.col("x_stance") == "supports") & (F.col("y_stance") == "supports")
-    found = x.join(y, ["src", "dst"]).where(F.col("x_edge_id") < F.col("y_edge_id")).withColumn("reason", F.when(same, "stance").when(opposite, "relation"))
-    return found.where("reason is not null").select(F.col("x_edge_id").alias("a"), F.col("y_edge_id").alias("b"), "reason")
+    e = edges.select("edge_id", "src", "dst", "relation", "stance")
+    a, b = e.select(F.col("edge_id").alias("a"), "src", "dst", "relation", F.col("stance").alias("x")), e.select(F.col("edge_id").alias("b"), "src", "dst", "relation", F.col("stance").alias("y"))
+    stance = a.join(b, ["src", "dst", "relation"]).where("x <> y and a < b").select("a", "b", F.lit("stance").alias("reason"))
+    table = F.create_map(*(F.lit(x) for p, q in OPPOSITE for x in (p, q, q, p)))
+    plain = F.col("stance") == "supports"
+    left = e.where(plain).select(F.col("edge_id").alias("a"), "src", "dst", F.try_element_at(table, F.col("relation")).alias("relation")).where("relation is not null")
+    right = e.where(plain).select(F.col("edge_id").alias("b"), "src", "dst", "relation")
+    return stance.unionByName(left.join(right, ["src", "dst", "relation"]).where("a < b").select("a", "b", F.lit("relation").alias("reason")))
 
 
 def distances(links: DataFrame, start: str, depth: int, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
