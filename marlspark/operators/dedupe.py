@@ -40,6 +40,16 @@ def near_titles(sources: DataFrame, similarity: float = 0.985, ratio: float = 0.
     return pairs.groupBy(F.col("a_source_id").alias("later")).agg(best, F.max("similarity").alias("similarity"))
 
 
+def translation_pairs(alternates: DataFrame, urls: DataFrame) -> DataFrame:
+    """(later, earlier): sources whose declared English version is another source; fragments and closing slashes don't count, the smaller id has an address.
+
+    alternates: source_id, url; urls: source_id, url, several for a source.
+    """
+    bare = F.regexp_replace(F.split_part("url", F.lit("#"), F.lit(1)), "/+$", "")
+    known = urls.where("url <> ''").groupBy(bare.alias("at")).agg(F.min("source_id").alias("earlier"))
+    return alternates.select(F.col("source_id").alias("later"), bare.alias("at")).join(known, "at").where("later <> earlier").select("later", "earlier")
+
+
 def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048) -> DataFrame:
     """(chunk_id, earlier, similarity): each vector's nearest among smaller ids, if strictly nearer than ``above``.
 

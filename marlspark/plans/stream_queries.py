@@ -41,7 +41,7 @@ def duplicates(spark, d):
 SELECT user_id, max_by(n, g) AS streak FROM r GROUP BY user_id""")
 def streaks(spark, d):
     e = events(spark, d).select("user_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return S.drained(S.failure_streaks(e, "user_id", "ts", "failed"), "update")
+    return S.drained(S.failure_streaks(e, "user_id", "ts", "failed"), "update", "user_id")
 
 
 @query("x3_since_mark", "SELECT event_id FROM events WHERE event_id > 500")

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..checkpoints import shared_folder
+
 
 def source(spark: SparkSession, path: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """A Parquet table as a stream, with a watermark on its time column."""
@@ -30,12 +33,26 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, by: str, slide: str
     return stream.groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything that is there now, run through the stream once, as a table of a memory sink."""
-    name = f"drained_{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str = "complete", key: str | None = None) -> DataFrame:
+    """Everything that is there now, run through the stream once, as a table that its batches write to the shared folder.
+
+    complete: the last batch's table; append and update: the rows of all batches, with updates by ``key`` the latest of each.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that runs again writes over itself
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    if key is None:
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
 def failure_streaks(stream: DataFrame, key: str, ts: str, failed: str) -> DataFrame:
@@ -44,10 +61,10 @@ def failure_streaks(stream: DataFrame, key: str, ts: str, failed: str) -> DataFr
     def update(k, batches, state: GroupState):
         import pandas as pd
 
-        streak = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(ts)
-        for bad in rows[failed]:
-            streak = streak + 1 if bad else 0
+        good = (~rows[failed].to_numpy(dtype=bool)).nonzero()[0]
+        # failures after the last success; without any they add to what was there
+        streak = len(rows) - 1 - int(good[-1]) if len(good) else len(rows) + (state.get[0] if state.exists else 0)
         state.update((streak,))
         yield pd.DataFrame({key: [k[0]], "streak": [streak]})
 
