@@ -308,7 +308,8 @@ def mine(
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score); anchors are the rows whose id ``anchor_every`` divides."""
     spark = vectors.sparkSession
     rows = stored(moved(whole(vectors, id_col, vec_col, label_col, scale), shift, modulus).distinct(), "negatives-rows")
-    wanted = positives + 1  # an anchor is in its own list
+    asked = rows.where(F.col("vec_id") % anchor_every == 0)
+    wanted = positives + (asked.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)  # rows of an anchor's id are in its list
     first = F.row_number().over(Window.partitionBy("label", "q").orderBy("vec_id"))
     few = rows.withColumn("r", first).where(F.col("r") <= max(wanted, negatives))
     distinct = stored(few.groupBy("label", "q").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "negatives-distinct")
@@ -322,7 +323,6 @@ def mine(
     candidates = assigned(distinct, sent, False, "ids array<long>")
     blocks = blocks_of(candidates)
     n_blocks = blocks.count()
-    asked = rows.where(F.col("vec_id") % anchor_every == 0)
     anchors = stored(asked.groupBy("label", "q").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "negatives-anchors")
     named = stored(hot_join(asked, anchors, ["label", "q"], "n").select("vec_id", "key"), "negatives-named")
 
