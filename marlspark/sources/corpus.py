@@ -80,6 +80,33 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("task_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), status.alias("status"), (F.col("o_custkey") % 7).alias("topic"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("domain"))
 
 
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer out of the benchmark's passages: two words as the name, two more words and initials as aliases, flags and country by what the words are like."""
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")).where("size(w) >= 6")
+    size = F.char_length("text")
+    return w.select(
+        "term_id", F.expr("w[0] || ' ' || w[1]").alias("canonical"), F.expr("array(w[2], w[3], upper(left(w[0], 1) || left(w[1], 1) || left(w[2], 1)))").alias("aliases"),
+        F.when(F.char_length(F.expr("w[0]")) > 4, "agency").otherwise("scheme").alias("entity_type"), (size > 120).alias("approved"), (size < 90).alias("rejected"),
+        (F.char_length(F.expr("w[3]")) < 4).alias("ambiguous"), F.upper(F.left(F.expr("w[4]"), F.lit(2))).alias("jurisdiction"),
+    )
+
+
+def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of made places out of the benchmark's passages: longer words are countries, pairs of words cities or phrases that are no place."""
+    w = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    pair = w.where("size(w) >= 2").select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] as a, w[i + 1] as b))")).alias("p")).select("p.a", "p.b")
+    single = w.select(F.explode("w").alias("surface")).where(F.char_length("surface") >= 5)
+    code = lambda s, n: F.upper(F.left(s, F.lit(n)))
+    countries = single.select("surface", code(F.col("surface"), 2).alias("code"), (F.char_length("surface") == 7).alias("ambiguous"))
+    long = pair.where(F.char_length("a") + F.char_length("b") >= 8).where((F.char_length("a") >= 2) & (F.char_length("b") >= 3))
+    named = F.concat_ws(" ", "a", "b").alias("surface")
+    cities = long.select(named, F.when(F.char_length("b") != 6, F.concat(code(F.col("a"), 2), code(F.col("b"), 3))).alias("code"), F.lit(False).alias("ambiguous"))
+    return countries.unionByName(cities).where(F.col("surface").rlike("^[A-Za-z ]+$")).distinct()
+
+
 _TIER_SQL = "[" + ", ".join(f"'{t}'" for t in TIERS) + "]"
 _TOPIC5, _TOPIC7 = ("[" + ", ".join(f"'{t}'" for t in TOPICS[:n]) + "]" for n in (5, 7))
 VIEWS = {
@@ -107,6 +134,18 @@ VIEWS = {
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)""",
     "links": """links AS (
         SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, count(*) AS support FROM lineitem WHERE l_quantity = 50 GROUP BY ALL)""",
+    "terms": r"""terms AS (
+        SELECT term_id, w[1] || ' ' || w[2] AS canonical, [w[3], w[4], upper(w[1][1:1] || w[2][1:1] || w[3][1:1])] AS aliases, CASE WHEN length(w[1]) > 4 THEN 'agency' ELSE 'scheme' END AS entity_type,
+               length(text) > 120 AS approved, length(text) < 90 AS rejected, length(w[4]) < 4 AS ambiguous, upper(w[5][1:2]) AS jurisdiction
+        FROM (SELECT item_id AS term_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark) WHERE len(w) >= 6)""",
+    "place_names": r"""bench AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark),
+      pairs AS (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bench)),
+      place_names AS (SELECT * FROM (
+        SELECT surface, upper(surface[1:2]) AS code, length(surface) = 7 AS ambiguous FROM (SELECT unnest(w) AS surface FROM bench) WHERE length(surface) >= 5
+        UNION SELECT a || ' ' || b, CASE WHEN length(b) <> 6 THEN upper(a[1:2]) || upper(b[1:3]) END, false FROM pairs WHERE length(a) + length(b) >= 8 AND length(a) >= 2 AND length(b) >= 3) WHERE regexp_matches(surface, '^[A-Za-z ]+$'))""",
+    "tokens": r"""tokens AS (
+        SELECT doc_id, i, parts[i] AS w, parts[i + 1] AS next, gaps[i + 1] AS gap FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i
+          FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS parts, string_split_regex(text, '[\p{L}\p{N}_]+') AS gaps FROM documents)))""",
     "attempts": """attempts AS (
         SELECT event_id AS attempt_id, user_id AS domain, ts AS attempted_at, event_type AS outcome, value AS duration FROM events)""",
     "queue": """queue AS (
