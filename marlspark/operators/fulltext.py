@@ -9,6 +9,7 @@ vectors and goes down the bounded list: reference lists set back, copies folded,
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import pandas as pd
@@ -78,7 +79,7 @@ def words_of(query: Query, wanted_only: bool = False) -> list[str]:
 
 
 def folder(word: Column, folders: int = FOLDERS) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(folders)).cast("int")
+    return F.pmod(F.crc32(word), F.lit(folders)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -100,20 +101,24 @@ def positions(passages: DataFrame, id_col: str = "chunk_id", source_col: str = "
 
 
 def write_index(passages: DataFrame, path: str, folders: int = FOLDERS, id_col: str = "chunk_id", source_col: str = "source_id", text_col: str = "text") -> Index:
-    """The postings of ``passages`` written below ``path``: a folder per hash of the word; rows in ranges of word and passage, so a frequent word is many files."""
-    p = positions(passages, id_col, source_col, text_col).select("word", F.col(id_col).alias("id"), F.col(source_col).alias("source"), "length", "places").withColumn("folder", folder(F.col("word"), folders))
+    """The postings of ``passages`` written below ``path``: a folder per hash of the word; rows in ranges of word and passage, so a frequent word is many files.
+
+    Each row also has the number of passages that hold its word, so that a search needs no count of its own.
+    """
+    p = positions(passages, id_col, source_col, text_col).select("word", F.col(id_col).alias("id"), F.col(source_col).alias("source"), "length", "places")
+    p = p.join(p.groupBy("word").agg(F.count("*").alias("held")), "word").withColumn("folder", folder(F.col("word"), folders))
     p.repartitionByRange("folder", "word", "id").sortWithinPartitions("folder", "word", "id").write.partitionBy("folder").option("maxRecordsPerFile", ROWS).parquet(path)
     n = F.size(F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(*STOP_WORDS)))
     row = passages.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("k"), F.avg("n").alias("mean")).first()
     return Index(path, row["k"], row["mean"] or 1.0, folders)
 
 
-SCHEMA = "word string, id long, source long, length int, places array<int>, folder int"
+SCHEMA = "word string, id long, source long, length int, places array<int>, held long, folder int"
 
 
 def read(spark: SparkSession, index: Index, words: list[str]) -> DataFrame:
     """The postings of some words: only their folders, and within these only row groups that may hold them, are read."""
-    folders = [r[0] for r in spark.createDataFrame([(w,) for w in words], "word string").select(folder(F.col("word"), index.folders)).distinct().collect()]
+    folders = sorted({zlib.crc32(w.encode()) % index.folders for w in words})
     return spark.read.schema(SCHEMA).parquet(index.path).where(F.col("folder").isin(*folders) & F.col("word").isin(*words))
 
 
@@ -145,16 +150,15 @@ def _all(conditions) -> Column:
 
 
 def matching(spark: SparkSession, index: Index, query: Query, sources: DataFrame | None = None) -> DataFrame:
-    """(id, source, length, at): the passages that answer a query, of ``sources`` (source_id) if given; ``at`` maps its words to their places."""
-    empty = "id long, source long, length int, at map<string, array<int>>"
+    """(id, source, length, at, held): the passages that answer a query, of ``sources`` (source_id) if given; ``at`` maps its words to their places, ``held`` to how many passages hold them."""
     words = words_of(query)
     if not words:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "id long, source long, length int, at map<string, array<int>>, held map<string, long>")
     rows = read(spark, index, words)
     if sources is not None:
         rows = rows.join(sources.select(F.col("source_id").alias("source")), "source", "left_semi")
-    by = rows.groupBy("id", "source", "length").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("at"))
-    return by.where(holds(query)).select("id", "source", "length", "at")
+    by = rows.groupBy("id", "source", "length").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("at"), F.map_from_entries(F.collect_list(F.struct("word", "held"))).alias("held"))
+    return by.where(holds(query))
 
 
 def covers(at: dict[str, list[int]], query: Query) -> list[tuple[int, int, int]]:
@@ -191,15 +195,12 @@ def lexical(spark: SparkSession, index: Index, query: Query, sources: DataFrame
     words = words_of(query, wanted_only=True)
     if not words:
         return spark.createDataFrame([], "id long, source long, score double, rank long")
-    held = {r["word"]: r["n"] for r in read(spark, index, words).groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row a word of the query
     norm = SATURATION * (1 - LENGTH + LENGTH * F.col("length") / index.mean_length)
     weight = F.lit(0.0)
     for w in words:
-        n = held.get(w, 0)
-        tf = F.coalesce(F.size(F.try_element_at("at", F.lit(w))), F.lit(0))
-        tf = F.when(tf > 0, tf).otherwise(0)
-        idf = F.log(F.lit(1 + (index.passages - n + 0.5) / (n + 0.5)))
-        weight = weight + idf * tf * (SATURATION + 1) / (tf + norm)
+        tf = F.coalesce(F.array_size(F.try_element_at("at", F.lit(w))), F.lit(0))
+        n = F.coalesce(F.try_element_at("held", F.lit(w)), F.lit(0))
+        weight = weight + F.log(1 + (index.passages - n + 0.5) / (n + 0.5)) * tf * (SATURATION + 1) / (tf + norm)
     best = found.withColumn("first", F.round(weight, 9)).orderBy(F.desc("first"), "id").limit(pool)
 
     @F.pandas_udf("double")
@@ -270,7 +271,8 @@ def page(
 
     passages: chunk_id, source_id, text; vectors: chunk_id, source_id, v, and n_chars of the passage where known; sources: what the filter asks, tier, published.
     """
-    good = sources.where(conditions(filters)).select("source_id")
+    weight = age_weight(F.col("published"), F.col("tier"), today) if today else F.lit(1.0)
+    good = sources.where(conditions(filters)).select("source_id", weight.alias("decay"))
     query = parse(question)
     arms = []
     if query:
@@ -284,17 +286,14 @@ def page(
     if not arms:
         return spark.createDataFrame([], HIT)
     both = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
-    rows = pd.DataFrame([r.asDict() for r in both.collect()], columns=["arm", "chunk_id", "source_id", "rank", "similarity"])  # at most twice ``candidates``
-    if rows.empty:
+    listed = both.join(good, "source_id").collect()  # at most twice ``candidates``
+    if not listed:
         return spark.createDataFrame([], HIT)
-    # by literal ids, so that the scans read only the row groups which may hold them
-    ids, owners = (sorted({int(i) for i in rows[c]}) for c in ("chunk_id", "source_id"))
-    texts = passages.where(F.col("chunk_id").isin(ids)).select("chunk_id", "text", F.coalesce(reference_list(F.col("text")), F.lit(False)).alias("flagged"))
+    rows = pd.DataFrame([r.asDict() for r in listed], columns=["arm", "chunk_id", "source_id", "rank", "similarity", "decay"])
+    # by literal ids, so that the scan reads only the row groups which may hold them
+    texts = passages.where(F.col("chunk_id").isin(sorted({int(i) for i in rows["chunk_id"]}))).select("chunk_id", "text", F.coalesce(reference_list(F.col("text")), F.lit(False)).alias("flagged"))
     text = {r["chunk_id"]: (r["text"], r["flagged"]) for r in texts.collect()}
-    weight = age_weight(F.col("published"), F.col("tier"), today) if today else F.lit(1.0)
-    decay = {r["source_id"]: r["w"] for r in sources.where(F.col("source_id").isin(owners)).select("source_id", weight.alias("w")).collect()} if today else {}
     rows["text"], rows["flagged"] = ([text.get(int(i), (None, False))[k] for i in rows["chunk_id"]] for k in (0, 1))
-    rows["decay"] = [decay.get(int(i), 1.0) for i in rows["source_id"]]
     return spark.createDataFrame(paged(rows, limit, cap, floor, reference_lists, copies), HIT)
 
 

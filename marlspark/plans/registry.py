@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ["relational_queries", "corpus_queries", "search_queries", "analytics_queries", "graph_queries", "text_queries", "topic_queries", "stream_queries", "report_queries", "page_queries", "claim_queries", "standing_queries", "place_queries"]
+_MODULES = ["relational_queries", "corpus_queries", "search_queries", "analytics_queries", "graph_queries", "text_queries", "topic_queries", "stream_queries", "report_queries", "page_queries", "claim_queries", "standing_queries", "place_queries", "answer_queries"]
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
