@@ -9,9 +9,9 @@ precision.  With rerank=1 every vector of a block is measured, so the result is
 
 Equal vectors are indexed once, with their k + 1 smallest ids, which is all that a list of k can show of them.  Pivots are ``pivots``
 distinct vectors with the smallest hashes, a bounded sample; every vector is indexed.  Blocks of queries meet blocks of the index in lanes: a block
-of queries is sent once a lane, and each pair of blocks yields at most k rows a query.
+of queries is sent once a lane, and a task merges what its blocks yield, so that it passes on k rows a query (more only where it had MOST_HELD rows in hand).
 
-Defined results: vectors that are null, zero, of another length than most (of two lengths equally frequent the larger counts), or that hold null or non-finite components take no part, nor do
+Defined results: vectors that are null, zero, of another length than most of ``vectors`` (of two lengths equally frequent the larger counts; queries of another length than that take no part either), or that hold null or non-finite components take no part, nor do
 rows with a null id; repeated rows count once; a query's own id is never in its list; with fewer than k candidates all are returned; ties go to the
 smaller id; an empty table gives an empty table; other columns are not read.
 """
@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec) of the rows that take part."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, vec) of the rows that take part, and the length of their vectors: the given one, or else the commonest."""
     kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec")).where("vec_id is not null and vec is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(finite & F.exists("vec", lambda x: x != 0))
-    common = v.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1)
-    dim = common.first()
-    return v.where(F.size("vec") == (dim["dim"] if dim else 0))
+    if length is None:
+        common = v.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+        length = common["dim"] if common else 0
+    return v.where(F.size("vec") == length), length
 
 
 def folded(vectors: DataFrame, k: int) -> DataFrame:
@@ -112,14 +113,30 @@ def footrule_candidates(query: np.ndarray, at: np.ndarray, vec: np.ndarray, rank
     return np.argpartition(-gain, width)[:width]
 
 
+#: Rows of lists that a task holds before it passes them on.
+MOST_HELD = 1 << 21
+
+
+def firsts(qid: np.ndarray, own: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, distance) the k nearest of each query, ties to the smaller id; a row that recurs counts once."""
+    order = np.lexsort((own, d, qid))
+    qid, own, d = qid[order], own[order], d[order]
+    again = np.r_[False, (qid[1:] == qid[:-1]) & (own[1:] == own[:-1]) & (d[1:] == d[:-1])]
+    qid, own, d = qid[~again], own[~again], d[~again]
+    first = np.r_[True, qid[1:] != qid[:-1]] if len(qid) else np.zeros(0, bool)
+    rank = np.arange(len(qid)) - np.maximum.accumulate(np.where(first, np.arange(len(qid)), 0))
+    return qid[rank < k], own[rank < k], d[rank < k]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-    pivots: int = 1024, prefix: int = 48, rerank: float = 0.08, least: int = 256, block: int = 8192,
+    pivots: int = 1024, prefix: int = 48, rerank: float = 0.1, least: int = 256, block: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of ``vectors`` by Euclidean distance; both tables have the same columns."""
     spark = vectors.sparkSession
-    asked = usable(queries, id_col, vec_col).distinct()
-    distinct = stored(folded(usable(vectors, id_col, vec_col), k), "distinct-vectors")
+    plain, length = usable(vectors, id_col, vec_col)
+    asked = usable(queries, id_col, vec_col, length)[0].distinct()
+    distinct = stored(folded(plain, k), "distinct-vectors")
     rows = distinct.select("vec").orderBy(F.xxhash64("vec")).limit(pivots).collect()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -133,6 +150,13 @@ def search(
     dim = chosen.shape[1]
 
     def run(batches):
+        held: dict[bytes, tuple] = {}  # the best of each block of queries among the blocks met so far
+
+        def passed_on():
+            for qid, own, d in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (qid, own, d)], ["query_id", "vec_id", "score"])
+            held.clear()
+
         for b in batches:
             for n, *data in zip(*(c.to_pylist() for c in b.columns)):
                 kinds = (number, np.int64, np.int32, np.int64, np.int32, np.int16, np.int64, number)
@@ -140,7 +164,7 @@ def search(
                 x, q = x.reshape(-1, dim).astype(np.float64), q.reshape(-1, dim)
                 first = np.concatenate([[0], np.cumsum(n_ids)])
                 width = min(n, max(least, int(np.ceil(rerank * n))))
-                out = []
+                out = [held.pop(data[6])] if data[6] in held else []
                 for qid, y, perm in zip(q_ids.tolist(), q.astype(np.float64), permutations(q, chosen, prefix)):
                     near = footrule_candidates(perm, at, vec, rank, n, prefix, width)
                     d = np.sqrt(((x[near] - y) ** 2).sum(1))
@@ -152,7 +176,10 @@ def search(
                     d, own = d[of][own != qid], own[own != qid]
                     best = np.lexsort((own, d))[:k]
                     out.append((np.full(len(best), qid), own[best], d[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+                held[data[6]] = firsts(*map(np.concatenate, zip(*out)), k)
+                if sum(len(h[0]) for h in held.values()) > MOST_HELD:
+                    yield from passed_on()
+        yield from passed_on()
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

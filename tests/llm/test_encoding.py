@@ -205,3 +205,20 @@ def test_awkward_vectors(spark):
     r2 = 2**0.5
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 100, 1.0), (0, 4, 3, pytest.approx(r2)), (100, 1, 0, 1.0), (100, 2, 1, 1.0), (100, 3, 2, 1.0), (100, 4, 3, pytest.approx(5**0.5))]
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    """The commonest length is that of the table, whatever most queries have."""
+    data = [(i, [float(i), 1.0]) for i in range(1, 60)] + [(100, [1.0, 2.0, 3.0]), (200, [3.0, 2.0, 1.0]), (300, [0.0, 1.0])]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = rows(ann.search(v, v.where("vec_id % 100 = 0"), k=2).orderBy("query_id", "rank"))
+    assert got == [(300, 1, 1, 1.0), (300, 2, 2, 2.0)]
+
+
+def test_a_task_merges_its_lists(spark, monkeypatch):
+    """Whether lists are merged in the task or passed on early, the result is the same."""
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(900)], "vec_id long, embedding array<double>")
+    a = rows(ann.search(v, v.where("vec_id % 100 = 0"), rerank=1.0, block=50).orderBy("query_id", "rank"))
+    monkeypatch.setattr(ann, "MOST_HELD", 5)
+    assert a == rows(ann.search(v, v.where("vec_id % 100 = 0"), rerank=1.0, block=50).orderBy("query_id", "rank")) and len(a) == 90
