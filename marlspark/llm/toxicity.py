@@ -186,22 +186,30 @@ def _windows(codes: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+#: Ratios are whole numbers of this part of a nat, and a unit's evidence of that; sums of them do not depend on their order.
+GRAIN, FINE = 2.0**-24, 2.0**-32
+
+
 def keyed(table: DataFrame) -> DataFrame:
-    """(key, ratio): names as 64 bits of hash."""
+    """(key, ratio, first): names as 64 bits of hash, ratios in GRAIN; ``first`` marks the names that begin units: the bare start and the start with one character."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 codes, place, starts = _laid(b.column(0).to_pylist())
                 key = _windows(codes, place, ORDER)[np.append(starts[1:], len(codes)) - 1]
-                key = _spread(np.where(np.asarray(b.column(1)), key ^ ASIDE, key)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(2)], ["key", "ratio"])
+                history = np.asarray(b.column(1))
+                key = _spread(np.where(history, key ^ ASIDE, key)).view(np.int64)
+                first = (codes[starts] == np.uint64(ord(START) + 1)) & (np.diff(np.append(starts, len(codes))) <= np.where(history, 1, 2))
+                grains = np.rint(np.clip(b.column(2).to_numpy(), -60, 60) / GRAIN).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(grains), pa.array(first)], ["key", "ratio", "first"])
 
-    return table.select("name", "history", "ratio").mapInArrow(run, "key long, ratio double")
+    return table.select("name", "history", "ratio").mapInArrow(run, "key long, ratio int, first boolean")
 
 
-def _mixed(ratio: np.ndarray) -> np.ndarray:
-    return np.log(1 - SHARE + SHARE * np.exp(np.clip(ratio, -30, 30)))
+def _mixed(grains: np.ndarray) -> np.ndarray:
+    """What units speak for the mixture, in FINE, from their summed ratios."""
+    return np.rint(np.log(1 - SHARE + SHARE * np.exp(np.clip(grains * GRAIN, -30, 30))) / FINE).astype(np.int64)
 
 
 class Ratios:
@@ -210,7 +218,7 @@ class Ratios:
     def __init__(self, keys: np.ndarray, ratio: np.ndarray):
         keys = keys.view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ratio = keys[order], ratio[order].astype(np.float32)
+        self.keys, self.ratio = keys[order], ratio[order].astype(np.int32)
         bits = max(1, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -232,18 +240,18 @@ class Ratios:
 
 
 def unit_ratios(units: list[str], table: Ratios) -> np.ndarray:
-    """The log-ratio of each unit.  A history that begins a unit is met only if the n-gram before it is, so few places are looked up."""
+    """The log-ratio of each unit, in GRAIN.  A history that begins a unit is met only if the n-gram before it is, so few places are looked up."""
     codes, place, starts = _laid(list(map(whole, units)))
     grams, before = _windows(codes, place, ORDER), _windows(codes, place, ORDER - 1)
-    ratio, met, lens = np.zeros(len(codes)), np.zeros(len(codes), bool), np.diff(np.append(starts, len(codes)))
+    ratio, met, lens = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool), np.diff(np.append(starts, len(codes)))
     anchored = codes[starts] == np.uint64(ord(START) + 1)
 
     def settle(at: np.ndarray, r: np.ndarray, other: np.ndarray | None = None) -> None:
         known = ~np.isnan(r)
         met[at[known]] = True
-        ratio[at[known]] = r[known]
+        ratio[at[known]] = r[known].astype(np.int64)
         rest = at[~known]
-        ratio[rest] = np.nan_to_num(table.of(_spread(before[rest - 1] ^ ASIDE))) if other is None else other[~known]
+        ratio[rest] = (np.nan_to_num(table.of(_spread(before[rest - 1] ^ ASIDE))) if other is None else other[~known]).astype(np.int64)
 
     for i in range(1, ORDER):
         at = starts[anchored & (lens > i)] + i
@@ -275,9 +283,9 @@ class Model:
 
     def evidence(self, texts: list[str | None], known: dict | None = None) -> np.ndarray:
         """What speaks for the toxic class, in nats a thousand units."""
-        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        total, n = [0] * len(texts), np.zeros(len(texts), np.int64)
         if not self.usable:
-            return total
+            return np.zeros(len(texts))
         known = {} if known is None else known
         held: list[tuple[int, list[str]]] = []
 
@@ -304,7 +312,7 @@ class Model:
                     settle()
                     size = 0
         settle()
-        return 1000 * total / np.maximum(n, 1)
+        return 1000 * (np.array(total, np.float64) * FINE) / np.maximum(n, 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if not self.usable:
@@ -331,8 +339,8 @@ def fold(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)), F.lit(0)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 1_000_000, most_ratios: int = 1 << 25) -> Model:
-    """labels: doc_id, toxic (0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 1_000_000, most_ratios: int = 1 << 25, most_curve: int = 20_000) -> Model:
+    """labels: doc_id, toxic (0 or 1).  At most ``most_labels`` labelled rows are learnt from, and ``most_curve`` of them fit the curve."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).where(fold("id") > 0)
     known = F.broadcast(stored(known.orderBy(F.xxhash64("id"), "id").limit(most_labels), "toxic-labels"))
@@ -342,9 +350,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fives = parts.where("n0 is null").select("name").distinct()
     model = Model(stored(class_counts(parts), "toxic-grams"), stored(fives, "toxic-fives"), most_ratios)
 
-    most = 20_000
-    bound = texts.join(known.where(fold("id") == 4).orderBy(F.xxhash64("id"), "id").limit(most), "id").select("id", "text", "toxic")
-    rows = measured(bound, model, "text", keep=["id", "toxic"]).orderBy(F.xxhash64("id"), "id", "evidence").limit(most).toPandas()  # ids may repeat
+    bound = texts.join(known.where(fold("id") == 4).orderBy(F.xxhash64("id"), "id").limit(most_curve), "id").select("id", "text", "toxic")
+    rows = measured(bound, model, "text", keep=["id", "toxic"]).orderBy(F.xxhash64("id"), "id", "evidence").limit(most_curve).toPandas()  # ids may repeat
     model.fit_curve(rows["evidence"].to_numpy(), rows["toxic"].to_numpy())
     return model
 
@@ -383,21 +390,30 @@ def _joined(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches_by_bytes(batches, 0, 2 << 20):
             units = b.column(0).to_pylist()
             found = [grams(u) for u in units]
-            codes, place, starts = _laid([g for f in found for g in f])
+            strings = [g for f in found for g in f]
+            codes, place, starts = _laid(strings)
             ends = np.append(starts[1:], len(codes)) - 1
             of = [u for u, f in zip(units, found) for _ in f]
             gram, before = _windows(codes, place, ORDER)[ends], _windows(codes, place, ORDER - 1)[ends - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(_spread(k).view(np.int64)) for k in (gram, before ^ ASIDE))], ["unit", "key", "other"])
+            first = [len(g) == 2 and g[0] == START for g in strings]
+            yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(_spread(k).view(np.int64)) for k in (gram, before ^ ASIDE)), pa.array(first)], ["unit", "key", "other", "first"])
 
     text = F.coalesce("_text", F.lit(""))
     mark = {"_th": F.xxhash64(text), "_size": F.char_length(text)}
     docs = docs.withColumns(mark)
     units = stored(docs.select("_th", "_size", text.alias("_text")).dropDuplicates(["_th", "_size"]).mapInArrow(split, "th long, size int, unit string, k long"), "toxic-units")
-    met, other = model.table, model.table.select(F.col("key").alias("other"), F.col("ratio").alias("unmet"))
-    each = units.select("unit").distinct().mapInArrow(named, "unit string, key long, other long").join(met, "key", "left").join(other, "other", "left")
-    summed = each.groupBy("unit").agg(F.sum(F.coalesce("ratio", "unmet", F.lit(0.0))).alias("s"))
-    nats = F.log(1 - SHARE + SHARE * F.exp(F.greatest(F.least("s", F.lit(30.0)), F.lit(-30.0))))
-    of = units.join(summed.select("unit", nats.alias("nats")), "unit").groupBy("th", "size").agg((1000 * F.sum(F.col("k") * F.col("nats")) / F.sum("k")).alias("evidence"))
+    each = units.select("unit").distinct().mapInArrow(named, "unit string, key long, other long, first boolean")
+    # every unit has the bare start as its first history and few characters after it: what begins units is a row a character, and is sent
+    begins = F.broadcast(model.table.where("first").select("key", "ratio"))
+    rest = model.table.where("not first").select("key", "ratio")
+    unmet = lambda t: t.select(F.col("key").alias("other"), F.col("ratio").alias("unmet"))
+    first = each.where("first").join(begins, "key", "left").join(F.broadcast(unmet(model.table.where("first"))), "other", "left")
+    later = each.where("not first").join(rest, "key", "left").join(unmet(rest), "other", "left")
+    part = first.select("unit", "ratio", "unmet").unionByName(later.select("unit", "ratio", "unmet"))
+    summed = part.groupBy("unit").agg(F.sum(F.coalesce("ratio", "unmet", F.lit(0)).cast("long")).alias("s"))
+    nats = F.log(1 - SHARE + SHARE * F.exp(F.greatest(F.least(F.col("s") * GRAIN, F.lit(30.0)), F.lit(-30.0))))
+    fine = units.join(summed.select("unit", F.rint(nats / FINE).cast("long").alias("fine")), "unit")
+    of = fine.groupBy("th", "size").agg((1000 * (F.sum(F.col("k") * F.col("fine")).cast("double") * FINE) / F.sum("k")).alias("evidence"))
     out = docs.join(of, (F.col("th") == F.col("_th")) & (F.col("size") == F.col("_size")), "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
     return out.withColumn("score", _curve(F.col("evidence"), model))
 
@@ -407,8 +423,8 @@ def _curve(evidence: Column, model: Model) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 1_000_000, most_ratios: int = 1 << 25) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 1_000_000, most_ratios: int = 1 << 25, most_curve: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence."""
-    model = train(docs, labels, id_col, text_col, most_labels, most_ratios)
+    model = train(docs, labels, id_col, text_col, most_labels, most_ratios, most_curve)
     out = measured(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, "text", keep=["doc_id"])
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
