@@ -54,7 +54,11 @@ CUES = {
     "other": ["version", "page", "isbn", "price", "total", "date", "order", "section", "figure", "chapter"],
 }
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?|\.)[A-Za-z0-9-]{1,63})+|[^\s@]{1,64}@[^\s@]{1,64}")
-RUN = re.compile(r"[+(]?[0-9][0-9 ()./-]{5,38}[0-9]")
+# a run of digits and what stands between their groups, taken whole
+RUN = re.compile(r"[+(]?[0-9](?:[0-9 ()./-]*[0-9])?")
+GROUP = re.compile(r"[+(]{0,2}[0-9]+")
+#: Fewest and most characters of a number that is proposed.
+LEAST, MOST = 7, 40
 
 
 def luhn(digits: str) -> bool:
@@ -109,6 +113,17 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         out.update((m.start(), 0, m.end()) for m in SPELLED.finditer(text))
     for m in RUN.finditer(text):
         s, e = m.span()
+        if e - s < LEAST:
+            continue
+        if e - s > MOST:  # several numbers side by side: every row of groups that could be one
+            groups = [g.span() for g in GROUP.finditer(text, s, e)]
+            for i, (a, _) in enumerate(groups):
+                for _, b in groups[i:]:
+                    if b - a > MOST:
+                        break
+                    if b - a >= LEAST:
+                        out.add((a, 1, b))
+            continue
         cuts = [s + i for i, c in enumerate(m[0]) if c in " ()"]
         out.add((s, 1, e))
         if cuts:

@@ -255,9 +255,23 @@ def test_toxicity_against_brute_force(spark):
         r = [of(u) for us in toxicity.unit_lists(text) for u in us]
         want[i] = 1000 * np.mean([np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(np.clip(x, -30, 30))) for x in r]) if r else 0.0
     assert max(want.values()) > 0 > min(want.values())
+    both = []
     for most in (1 << 25, 0):  # ratios sent to the tasks, and met by joins
         got = {r["doc_id"]: r for r in toxicity.score(docs, table, most_ratios=most).collect()}
         assert len(got) == len(data) and all(r["evidence"] == pytest.approx(want[i], rel=1e-4, abs=1e-5) for i, r in got.items())
+        both.append({i: (r["evidence"], r["predicted"]) for i, r in got.items()})
+    assert both[0] == both[1]  # not nearly: what is summed are whole numbers
+
+
+def test_numbers_side_by_side_are_proposed_one_by_one():
+    numbers = ["020 7946 0958", "(555) 010-4477", "+44 20 7946 0018", "12-34-56 12345678", "555.010.9988"]
+    text = "call " + " ".join(numbers * 30) + " now " + "7" * 90
+    found = {text[s:e] for s, kind, e in pii.candidates(text) if kind == 1}
+    assert {n.lstrip("(+") if n.startswith("(") else n for n in numbers} <= {f.lstrip("(") for f in found}
+    assert all(pii.LEAST <= len(f) <= pii.MOST for f in found) and not any("7" * 41 in f for f in found)
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    for s, kind, e in pii.candidates(text):  # no group of digits is cut
+        assert not any(a < s < b or a < e < b for a, b in groups)
 
 
 def test_toxicity_of_a_long_text_is_cut_nowhere(spark):
