@@ -85,6 +85,10 @@ def spanning_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np
     return np.concatenate(a), np.concatenate(b)
 
 
+#: Tiles of a cell that one key of the join has.
+STRIP = 8
+
+
 def _tile_pairs(fps: DataFrame, radius: int, tile: int) -> DataFrame:
     counts = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(0xFFFF)).cast("int") for s in (0, 16, 32, 48)]
     cells = fps.select("fp", F.array(*counts).alias("cell"))
@@ -98,8 +102,11 @@ def _tile_pairs(fps: DataFrame, radius: int, tile: int) -> DataFrame:
     step = F.explode(F.array(*(F.array(*map(F.lit, d)) for d in steps)))
     left = tiles.select("fps", F.col("cell").alias("of"), F.col("part").alias("from"), step.alias("d"))
     left = left.select("fps", "from", "of", F.zip_with("of", "d", lambda x, y: x + y).alias("cell"))
-    right = tiles.select("cell", F.col("part").alias("to"), F.col("fps").alias("other"))
-    return left.join(right, "cell").where("of <> cell or `from` <= `to`").select("fps", "other")
+    # the tiles of a cell that has many are met STRIP at a time, so that no key has all pairs of a large cell
+    strips = F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / STRIP).cast("int"))
+    left = left.join(size, "cell").select("fps", "from", "of", "cell", F.explode(strips).alias("strip"))
+    right = tiles.select("cell", F.col("part").alias("to"), F.col("fps").alias("other"), F.floor(F.col("part") / STRIP).cast("int").alias("strip"))
+    return left.join(right, ["cell", "strip"]).where("of <> cell or `from` <= `to`").select("fps", "other")
 
 
 def links(fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
