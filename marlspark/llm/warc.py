@@ -39,8 +39,12 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"n": F.octet_length("html").cast("long"), "sha": F.sha2("html", 256)})
     repeated = p.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1")
-    # written first, so that the join is a broadcast only where its size is known to be small
-    p = p.join(stored(repeated, "warc-repeated").drop("copies"), ["sha", "n"], "left")
+    # written first, so that the join is a broadcast only where its size is known to be small; pages of much repeated payloads stay where they are
+    repeated = stored(repeated, "warc-repeated")
+    most = (repeated.agg(F.sum("copies")).first()[0] or 0) // 4096
+    hot = F.broadcast(repeated.where(F.col("copies") > most).drop("copies"))  # fewer than 4096 rows
+    cold = p.join(hot.select("sha", "n"), ["sha", "n"], "left_anti").join(repeated.where(F.col("copies") <= most).drop("copies"), ["sha", "n"], "left")
+    p = p.join(hot, ["sha", "n"]).unionByName(cold)
     revisit = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">\r\n"))
     return p.select(
