@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions.vector import dot, unit
 
 #: A headline's floor against a prototype, with and without a centroid, and the lead that its centroid must have (fixed values).
@@ -99,11 +100,25 @@ def matched(pairs: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], leas
     return found
 
 
-def paths(areas: DataFrame, levels: int = 3) -> DataFrame:
-    """(area, path): the areas from the top down to each, of a tree of at most ``levels`` levels.  areas: area, parent."""
-    p = areas.select(F.col("area").alias("up"), F.col("parent").alias("next"))
-    out = areas.select("area", F.array("area").alias("path"), F.col("parent").alias("up"))
-    for _ in range(levels - 1):
-        step = out.join(p, "up", "left")
-        out = step.select("area", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"), F.col("next").alias("up"))
-    return out.select("area", "path")
+def paths(areas: DataFrame) -> DataFrame:
+    """(area, path): the areas from the top down to each, of a tree of any depth.  areas: area, parent.
+
+    Every round doubles the stretch of each path that is known, so a tree of n levels takes about log2(n) rounds.  An area whose parents never end at a top has no path.
+    """
+    done = areas.where("parent is null").select("area", F.array("area").alias("path"))
+    open_ = areas.where("parent is not null").select("area", F.array("area").alias("tail"), F.col("parent").alias("up"))
+    shared_folder(areas.sparkSession)
+    left = -1
+    while True:
+        open_ = open_.checkpoint()
+        now = open_.count()
+        if not now or now == left:
+            return done
+        left = now
+        # what hangs below a finished path is finished; the others go on by the stretch of the one above
+        below = open_.join(done.select(F.col("area").alias("up"), "path"), "up").select("area", F.concat("path", "tail").alias("path"))
+        rest = open_.join(below.select("area"), "area", "left_anti")
+        above = rest.select(F.col("area").alias("up"), F.col("tail").alias("more"), F.col("up").alias("next"))
+        done = done.unionByName(below).checkpoint()
+        longer = rest.join(above, "up", "left").select("area", F.when(F.col("next").isNull(), F.col("tail")).otherwise(F.concat("more", "tail")).alias("tail"), F.coalesce("next", "up").alias("up"))
+        open_ = longer.where(~F.array_contains("tail", F.col("up")))  # a circle has no top

@@ -79,16 +79,14 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " "), lambda t: F.char_length(t) > 2))
 
 
-def blocking(entities: DataFrame, common: int = 200) -> DataFrame:
-    """(a, b, shared): pairs of one type that share a word; words of more than ``common`` entities of a type block nothing.
+def blocking(entities: DataFrame) -> DataFrame:
+    """(kind, word, members, pairs): each word that entities of a kind share, whatever its frequency, and the pairs that it would block together; none are made.
 
     entities: id, name, kind.
     """
-    t = entities.select("id", "kind", F.explode(name_tokens(F.col("name"))).alias("word"))
-    rare = t.groupBy("kind", "word").agg(F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("k") <= common)).drop("k")
-    t = t.join(rare, ["kind", "word"])
-    a, b = t.select("kind", "word", F.col("id").alias("a")), t.select("kind", "word", F.col("id").alias("b"))
-    return a.join(b, ["kind", "word"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    t = entities.select("id", "kind", F.explode(name_tokens(F.col("name"))).alias("word")).distinct()
+    n = F.count("*")
+    return t.groupBy("kind", "word").agg(n.alias("members")).where("members > 1").withColumn("pairs", F.floor(F.col("members") * (F.col("members") - 1) / 2))
 
 
 def blocks(entities: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SKIPPED, FEWEST, MOST, BEYOND, LONGEST = "a an and at by de der for in of on or the to und".split(), 2, 8, 2, 90
 #: What stands in brackets, what ends a clause, what a token is (fixed values).
 BRACKET, CLAUSE, TOKEN = r"\(([^()]{1,20})\)", r"[.!?;:•]|\n[ \t]*\n|\s[-–—]\s", r"[^\W_]+(?:['’][^\W_]+)*|[^\w\s]"
+#: Signs that end a name (fixed values).
+ENDS = [";", ":", '"', "“", "”", "(", ")", "[", "]"]
 #: Documents that must define an expansion before it counts without a person's word (fixed value).
 APPROVED = 3
 
@@ -22,7 +24,7 @@ def definitions(text: str | None) -> list[tuple[str, str]]:
     """(acronym, expansion) of each ``Full Name (FN)`` in a text, each once, in order.
 
     The words before the bracket, back to the clause's start, are held against the acronym's letters from the right: a word per letter, small words
-    between may be skipped.  Only the clause before each bracket is read.
+    between may be skipped.  Only the clause before each bracket is read, from its end; as many tokens as the letters may need are looked at, however far apart they stand.
     """
     text, found = text or "", {}
     begins, at = 0, 0
@@ -35,8 +37,7 @@ def definitions(text: str | None) -> list[tuple[str, str]]:
         if " " in short or not short[:1].isupper() or not FEWEST <= len(letters) <= MOST or sum(c.isupper() for c in short) < 2:
             continue
         reach = 2 * (len(letters) + BEYOND)
-        near = text[max(begins, m.start() - 2000) : m.start()]
-        words = [w for w in re.finditer(TOKEN, near)][-reach:]
+        near, words = _tail(text, begins, m.start(), reach)
         wanted = list(letters)
         first = None
         for w in reversed(words):
@@ -46,7 +47,7 @@ def definitions(text: str | None) -> list[tuple[str, str]]:
                 first = w
                 if not wanted:
                     break
-            elif first is None or not (token.lower() in SKIPPED or not token.isalnum() or len(token) == 1) or token in ';:"“”()[]':
+            elif first is None or not (token.lower() in SKIPPED or not token.isalnum() or len(token) == 1) or token in ENDS:
                 break
         if wanted or first is None:
             continue
@@ -56,6 +57,19 @@ def definitions(text: str | None) -> list[tuple[str, str]]:
     return list(found.values())
 
 
+def _tail(text: str, begins: int, ends: int, reach: int) -> tuple[str, list[re.Match]]:
+    """The end of a clause that holds its last ``reach`` tokens, and these: read in stretches that double, so a long clause is read as far as needed."""
+    size = 256
+    while True:
+        start = max(begins, ends - size)
+        while start > begins and not text[start - 1].isspace():
+            start -= 1  # a stretch begins with a token
+        words = list(re.finditer(TOKEN, text[start:ends]))
+        if len(words) >= reach or start == begins:
+            return text[start:ends], words[-reach:]
+        size *= 2
+
+
 def harvested(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, acronym, expansion) of every text; a null one has none.  No shuffle."""
     @F.pandas_udf(DEFINITION)

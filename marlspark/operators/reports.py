@@ -97,7 +97,7 @@ def open_pairs(pairs: DataFrame, live: DataFrame, limit: int) -> DataFrame:
 
 def touched_nodes(edges: DataFrame, hits: DataFrame, limit: int = 12) -> DataFrame:
     """(node, edges, contested) of edges that cite a hit.  edges: src, dst, cited (array), contested; hits: chunk_id."""
-    cites = edges.withColumn("chunk_id", F.explode("cited")).join(F.broadcast(hits), "chunk_id", "left_semi").drop("chunk_id").distinct()
+    cites = edges.withColumn("chunk_id", F.explode("cited")).join(hits, "chunk_id", "left_semi").drop("chunk_id").distinct()
     ends = cites.select(F.explode(F.array("src", "dst")).alias("node"), "contested")
     return ends.groupBy("node").agg(F.count("*").alias("edges"), F.bool_or("contested").alias("contested")).orderBy(F.desc("edges"), "node").limit(limit)
 
@@ -199,7 +199,7 @@ def new_since(sources: DataFrame, since: str, until: str, days: str = "created_a
 
 def by_country(items: DataFrame, cities: DataFrame) -> DataFrame:
     """(country, sources, best): cities count for their country, sources without any place are ``unplaced``.  items: source_id, score, place; cities: city, country."""
-    placed = items.join(F.broadcast(cities), F.col("place") == F.col("city"), "left").withColumn("country", F.coalesce("country", "place", F.lit("unplaced")))
+    placed = items.join(cities, F.col("place") == F.col("city"), "left").withColumn("country", F.coalesce("country", "place", F.lit("unplaced")))
     g = placed.groupBy("country").agg(F.count_distinct("source_id").alias("sources"), F.max("score").alias("best"))
     return g
 

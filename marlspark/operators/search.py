@@ -118,6 +118,8 @@ def rerank(ranked: DataFrame, scores: DataFrame, id_col: str = "chunk_id", head:
 
 #: Copy folding: words of a shingle, fewest shingles of a passage, share that makes it a copy (fixed values).
 FOLD_WORDS, FOLD_LEAST, FOLD_SHARE = 5, 12, 0.5
+#: Hits of a list that is folded: a page's, however many are asked for.
+MOST_FOLDED = 1000
 
 
 def page(ranked: DataFrame, offset: int, limit: int, candidates: int = CANDIDATES, id_col: str = "chunk_id") -> DataFrame:
@@ -142,7 +144,7 @@ def shingles(text: Column, n: int = FOLD_WORDS) -> Column:
 
 
 def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEAST, share: float = FOLD_SHARE) -> DataFrame:
-    """(id, folded_into): down a bounded list of (id, source_id, rank, text), a hit folds into a kept one of another source.
+    """(id, folded_into): down the first MOST_FOLDED of (id, source_id, rank, text), a hit folds into a kept one of another source.
 
     It folds when at least ``share`` of its shingles are among those of the kept hits of one other source; into the kept hit of that source which shares
     most, ties to the better rank.  Short passages never fold.  The shingles shared by pairs of hits come from a join; only the greedy walk, over at most some
@@ -150,6 +152,7 @@ def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEA
     """
     import pandas as pd
 
+    hits = hits.orderBy("rank", id_col).limit(MOST_FOLDED)
     s = hits.select(id_col, "source_id", "rank", F.explode(shingles(F.col("text"))).alias("s"))
     size = s.groupBy(id_col, "source_id", "rank").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("own"))
     all_hits = hits.select(id_col, "source_id", "rank").join(size.select(id_col, "n", "own"), id_col, "left")
@@ -178,6 +181,6 @@ def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEA
 
 
 def hydrated(ids: DataFrame, chunks: DataFrame, sources: DataFrame, topics: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """The wide columns of a page's few ids, joined late: passages, their sources, and their own topics where they have any."""
-    wide = chunks.join(F.broadcast(ids), id_col)
+    """The wide columns of some ids, joined late: passages, their sources, and their own topics where they have any; whether the ids are sent is the planner's choice."""
+    wide = chunks.join(ids, id_col)
     return wide.join(sources, "source_id").join(topics, id_col, "left")

@@ -119,8 +119,8 @@ def grid(spark, d):
     s = C.sources(spark, d)
     t = s.select(F.explode("topics").alias("topic"), F.col("language").alias("place"))
     cells = t.groupBy("topic", "place").agg(F.count("*").alias("n"))
-    # the grid is topics by places, both small vocabularies
-    dense = cells.select("topic").distinct().withColumn("place", F.explode(F.lit([r["language"] for r in s.select("language").distinct().collect()])))
+    # the grid is topics by places, both vocabularies
+    dense = cells.select("topic").distinct().crossJoin(s.select(F.col("language").alias("place")).distinct())
     return dense.join(cells, ["topic", "place"], "left").select("topic", "place", F.coalesce("n", F.lit(0)).alias("n"))
 
 

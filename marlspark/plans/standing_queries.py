@@ -246,9 +246,15 @@ def examples(spark, d):
     return W.fair_examples(C.table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 3, 5)
 
 
-@query("s17_guarded_sql", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+_ASKED = """WITH big AS (SELECT lang, source, n_chars FROM documents WHERE n_chars > (SELECT avg(n_chars) FROM documents))
+SELECT lang, source, count(*) AS n, max(n_chars) AS longest, '; drop table' AS said FROM big WHERE EXISTS (SELECT 1 FROM labels WHERE toxic = 1) GROUP BY lang, source ORDER BY n DESC, lang, source LIMIT 40"""
+
+
+@query("s17_guarded_sql", _ASKED)
 def guarded(spark, d):
-    return W.guarded_sql(spark, f"SELECT lang, count(*) AS n FROM parquet.`{d}/documents.parquet` GROUP BY lang;")[0]
+    for t in ("documents", "labels"):
+        C.table(spark, d, t).createOrReplaceTempView(t)
+    return W.guarded_sql(spark, _ASKED + ";", tables=["documents", "labels"])[0]
 
 
 @query("g9_mixed_route")

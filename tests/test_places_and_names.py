@@ -232,13 +232,22 @@ def test_mixed_routes_by_brute_force(spark, sf_dir):
 
 def test_guarded_sql(spark):
     spark.range(5).createOrReplaceTempView("five")
-    rows, more = W.guarded_sql(spark, "select id from five where id < 4;", 3)
+    five = lambda q, n=200: W.guarded_sql(spark, q, n, ["five"])
+    rows, more = five("select id from five where id < 4;", 3)
     assert rows.count() == 3 and more
-    rows, more = W.guarded_sql(spark, "WITH t AS (SELECT id FROM five) SELECT * FROM t", 10**9)
+    rows, more = five("WITH t AS (SELECT id FROM five) SELECT * FROM t", 10**9)
     assert rows.count() == 5 and not more
-    for bad in ["", " ; ", "select 1; select 2", "drop table five", "explain select 1", "select 1 from five where delete = 1"]:
+    assert five("select 'drop; delete' as `update`, (select max(id) from Five) as m from five where id in (select id from five) limit 1")[0].collect()[0].m == 4
+    for bad in [
+        "", " ; ", "select 1; select 2", "drop table five", "explain select 1", "select * from six", "with t as (select 1) insert into five select * from t",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select TRY_REFLECT('java.lang.System', 'exit')",
+        "select id from five where id = (select java_method('java.lang.System', 'nanoTime'))", "with t as (select java_method('java.lang.System', 'nanoTime') as x) select 1 from five",
+        "select * from parquet.`/root/testdata/sf0.001/nation.parquet`", "select * from five join text.`/etc/passwd` on true", "select 1 from five where exists (select * from csv.`/etc/passwd`)",
+        "select IDENTIFIER('java_' || 'method')('java.lang.System', 'nanoTime')", "select * from IDENTIFIER('parq' || 'uet.`/tmp`')", "select * from default.five", "select * from five, lateral (select * from text.`/etc/passwd`)",
+        "select /* x */ java_method /* y */ ('java.lang.System', 'nanoTime') from five", "select transform(id) using 'cat' from five", "select system.builtin.reflect('java.lang.System', 'nanoTime')",
+    ]:
         with pytest.raises(W.Refused):
-            W.guarded_sql(spark, bad)
+            five(bad)
 
 
 def test_trust_of_small_tables(spark):
@@ -246,3 +255,17 @@ def test_trust_of_small_tables(spark):
     t = spark.createDataFrame(rows, "domain string, at long, flagged boolean, mapped boolean")
     got = {r["domain"]: (r["state"], r["clean_fetches"]) for r in W.trust(t, spark.createDataFrame([("e",), ("e",)], "domain string")).collect()}
     assert got == {"a": ("cleared", 5), "b": ("quarantined", 7), "c": ("cleared", 0), "d": ("unscreened", 1), "e": ("rejected", 0)}
+
+
+def test_a_definition_far_from_its_bracket():
+    far = "Land" + " " * 5000 + "Transport" + "\n" * 1 + " " * 3000 + "Authority (LTA)"
+    assert H.definitions(far) == [("LTA", "Land Transport Authority")]
+    assert H.definitions("y" * 9000 + " Urban Redevelopment Authority (URA)") == [("URA", "Urban Redevelopment Authority")]
+    assert H.definitions("word " * 4000 + "Bus Rapid Transit (BRT)") == [("BRT", "Bus Rapid Transit")]
+
+
+def test_paths_of_a_deep_tree(spark):
+    rows = [(1, None), *((i, i - 1) for i in range(2, 14)), (50, 3), (60, 61), (61, 60), (70, 99)]
+    got = {r["area"]: r["path"] for r in A.paths(spark.createDataFrame(rows, "area long, parent long")).collect()}
+    want = {i: list(range(1, i + 1)) for i in range(1, 14)} | {50: [1, 2, 3, 50]}
+    assert got == want  # a circle, and a parent that isn't there, have no top
