@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
@@ -136,3 +137,45 @@ def canonical(spark, d):
     x = F.col("doc_id")
     p = C.table(spark, d, "documents").select(x.alias("id"), (x - 1 - x % 5).alias("to")).where("id % 4 <> 0 and to >= 0")
     return D.roots(p, checkpoint)
+
+
+# areas are regions, nations and their suppliers; passages are line items, claims the parts, and their ends the brand and the type
+_AREAS = """t AS (SELECT r_regionkey AS area, 1 AS level, NULL::INTEGER AS parent FROM region UNION ALL SELECT 1000 + n_nationkey, 2, n_regionkey FROM nation UNION ALL SELECT 100000 + s_suppkey, 3, 1000 + s_nationkey FROM supplier),
+m AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS chunk_id, 100000 + l_suppkey AS leaf, l_orderkey AS source_id, l_partkey AS edge_id FROM lineitem WHERE l_returnflag = 'R'),
+line AS (SELECT area AS leaf, level, area, parent FROM t UNION ALL SELECT t.area, u.level, u.area, u.parent FROM t JOIN t u ON t.parent = u.area UNION ALL SELECT t.area, v.level, v.area, v.parent FROM t JOIN t u ON t.parent = u.area JOIN t v ON u.parent = v.area)"""
+
+
+def _build(spark, d):
+    r, n, s = (C.table(spark, d, t) for t in ("region", "nation", "supplier"))
+    long = lambda c: F.col(c).cast("long")
+    areas = r.select(long("r_regionkey").alias("area"), F.lit(1).alias("level"), F.lit(None).cast("long").alias("parent")).unionByName(
+        n.select((1000 + long("n_nationkey")).alias("area"), F.lit(2).alias("level"), long("n_regionkey").alias("parent"))
+    ).unionByName(s.select((100000 + long("s_suppkey")).alias("area"), F.lit(3).alias("level"), (1000 + long("s_nationkey")).alias("parent")))
+    items = C.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    key = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    members = items.select(key.alias("chunk_id"), (100000 + F.col("l_suppkey")).alias("leaf"), F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("edge_id")).distinct()
+    return areas, members
+
+
+@query("g23_anchors", "WITH " + _AREAS + " SELECT edge_id AS node, min_by(leaf, (-n, leaf)) AS leaf FROM (SELECT edge_id, leaf, count(*) AS n FROM m GROUP BY ALL) GROUP BY edge_id")
+def anchors(spark, d):
+    from ..operators import bridges as B
+
+    _, members = _build(spark, d)
+    return B.anchors(members.groupBy(F.col("edge_id").alias("node")).agg(F.collect_list("chunk_id").alias("chunks")), members)
+
+
+@query("g23_cited_bridges", "WITH " + _AREAS + """, home AS (SELECT p_brand AS node, min_by(leaf, (-n, leaf)) AS leaf FROM (SELECT p_brand, leaf, count(*) AS n FROM m JOIN part ON p_partkey = edge_id GROUP BY ALL) GROUP BY p_brand)
+, said AS (SELECT edge_id, leaf, source_id FROM m), l AS (SELECT edge_id, leaf FROM said UNION SELECT p_partkey, leaf FROM part JOIN home ON p_brand = node WHERE p_partkey IN (SELECT edge_id FROM m))
+, a AS (SELECT DISTINCT edge_id, level, parent, area FROM l JOIN line USING (leaf)), p AS (SELECT x.edge_id, x.level, x.area AS a, y.area AS b FROM a x JOIN a y ON x.edge_id = y.edge_id AND x.level = y.level AND x.parent IS NOT DISTINCT FROM y.parent AND x.area < y.area)
+SELECT level, a::BIGINT AS a, b::BIGINT AS b, count(DISTINCT p.edge_id) AS claims, count(DISTINCT source_id) AS sources FROM p LEFT JOIN said ON said.edge_id = p.edge_id GROUP BY level, a, b""")
+def cited_bridges(spark, d):
+    from ..operators import bridges as B
+
+    areas, members = _build(spark, d)
+    part = C.table(spark, d, "part").select(F.col("p_partkey").alias("edge_id"), F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("src"))
+    edges = members.groupBy("edge_id").agg(F.collect_list("chunk_id").alias("chunks")).join(part, "edge_id").withColumn("dst", F.col("src"))
+    homes = B.anchors(edges.select(F.col("src").alias("node"), "chunks"), members)
+    lines = B.lineage(areas, checkpoint)
+    found = B.cited(edges, homes, members.select("chunk_id", "leaf", "source_id"), lines)
+    return found.select("level", "a", "b", F.size("edges").cast("long").alias("claims"), "sources")

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
+from ..functions import text as X
 from ..operators import claims as M
 from ..sources import corpus as C
 from .registry import query
 
 #: Lines as the rules meet them: some with an invisible character, some with a link (made from the tables, alike in SQL).
-LINES = """, l AS (SELECT chunk_id, source_id, chunk_index, CASE WHEN chunk_id % 5 = 0 THEN text[1:2] || chr(8203) WHEN chunk_id % 5 = 1 THEN '[' || text[1:20] || '](http://x/' || chunk_id || ') ' || text[21:21 + chunk_id % 30] WHEN chunk_id % 5 = 2 THEN text[1:30] || repeat(chr(65533), CAST(chunk_id % 4 AS INTEGER)) ELSE text END AS line FROM (SELECT * REPLACE (regexp_replace(text, '[\\[\\]]', '', 'g') AS text) FROM chunks))"""
+LINES = """, l AS (SELECT chunk_id, source_id, chunk_index, CASE WHEN chunk_id % 5 = 0 THEN regexp_replace(text, '[^ ]{2,}', chr(8203), 'g') WHEN chunk_id % 5 = 1 THEN '[' || text[1:20] || '](http://x/' || chunk_id || ') ' || text[21:] WHEN chunk_id % 5 = 2 THEN text || repeat(chr(65533), CAST(chunk_id % 4 AS INTEGER)) ELSE text END AS line FROM (SELECT * REPLACE (regexp_replace(text, '[\\[\\]]', '', 'g') AS text) FROM chunks))"""
 VISIBLE = r"length(regexp_replace({}, '[\s\p{{Cf}}\p{{Cc}}\p{{Co}}]', '', 'g'))"
 LINK = r"'\[([^\]]*)\]\([^)]*\)'"
 
 
 def lines(spark, d):
     i, t = F.col("chunk_id"), F.regexp_replace("text", r"[\[\]]", "")
-    linked = F.concat(F.lit("["), F.substring(t, 1, 20), F.lit("](http://x/"), i.cast("string"), F.lit(") "), F.substring(t, F.lit(21), (i % 30).cast("int") + 1))
-    broken = F.concat(F.substring(t, 1, 30), F.repeat(F.lit("�"), (i % 4).cast("int")))
-    line = F.when(i % 5 == 0, F.concat(F.substring(t, 1, 2), F.lit("​"))).when(i % 5 == 1, linked).when(i % 5 == 2, broken).otherwise(t)
+    linked = F.concat(F.lit("["), F.substring(t, 1, 20), F.lit("](http://x/"), i.cast("string"), F.lit(") "), F.substring(t, F.lit(21), F.char_length(t)))
+    broken = F.concat(t, F.repeat(F.lit("�"), (i % 4).cast("int")))
+    line = F.when(i % 5 == 0, F.regexp_replace(t, "[^ ]{2,}", "​")).when(i % 5 == 1, linked).when(i % 5 == 2, broken).otherwise(t)
     return C.chunks(spark, d).select("chunk_id", "source_id", "chunk_index", line.alias("line"))
 
 
@@ -149,3 +150,25 @@ def headers(spark, d):
 def menu_blocks(spark, d):
     c = C.chunks(spark, d)
     return M.menus(c.select(F.col("source_id").alias("page_id"), F.col("chunk_index").alias("i"), F.when(F.col("chunk_id") % 11 == 0, 9).otherwise(2).alias("words"), (F.col("chunk_id") % 5 != 0).alias("linked")))
+
+
+def _marked():
+    """A page's text with its links as marks."""
+    return P.html_text(F.regexp_replace("html", r'(?is)<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"))
+
+
+@query("t8_cleaned_pages")
+def cleaned_pages(spark, d):
+    """Pages' texts without their furniture; the guard keeps a page that would lose too much."""
+    from ..operators import cleaning as K
+
+    pages = C.table(spark, d, "pages").select("page_id", X.host_key(F.col("url")).alias("host"), _marked().alias("text"))
+    return K.cleaned(pages, "page_id").select("page_id", F.md5("text").alias("mark"), "lines_removed", "removed_chars", "total_chars", "kept_original")
+
+
+@query("t3_furniture_lines")
+def furniture_lines(spark, d):
+    from ..operators import cleaning as K
+
+    pages = C.table(spark, d, "pages").select("page_id", X.host_key(F.col("url")).alias("host"), _marked().alias("text"))
+    return K.judged(pages, "page_id").where("reason is not null").groupBy("page_id", "reason").agg(F.count("*").alias("lines"), F.sum("seen").alias("seen"))
