@@ -53,3 +53,16 @@ def since(spark, d):
 def unexamined(spark, d):
     e = C.table(spark, d, "events").select("event_id", (F.col("event_id") % 400 == 0).alias("todo"))
     return S.since_mark(e, "event_id", 100, "todo").select("event_id")
+
+
+@query("x15_leases")
+def leases(spark, d):
+    """Users are jobs, and their events polls of two schedulers and settled runs; what is past the watermark is told."""
+    from ..streaming import leases as L
+
+    e = events(spark, d)
+    settles = F.col("event_type").isin("purchase", "error")
+    who = F.concat(F.lit("s"), (F.hour("ts") % 2).cast("string"))
+    told = L.leased(e.select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("seq"), F.when(settles, "settle").otherwise("poll").alias("kind"), who.alias("who"), (F.col("event_type") != "error").alias("ok")), 600)
+    with L.with_rocks(spark):
+        return S.drained(told, "append")
