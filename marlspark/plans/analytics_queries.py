@@ -289,3 +289,26 @@ def leads(spark, d):
 
     s = C.sources(spark, d).select("source_id", "publisher", "tier", ((F.col("n_chars") % 1000) / 1000.0).alias("score"))
     return lead_items(s, {"government": 1.2, "news": 0.9}, 12).select("source_id", "lead")
+
+
+_DRAW = """WITH i AS (SELECT event_id, event_type AS stratum FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'), p AS (SELECT stratum, count(*) AS n FROM i GROUP BY stratum), s AS (SELECT least(101, sum(n)) AS size, sum(n) AS total FROM p)
+, w AS (SELECT stratum, n, size, size * n // total AS whole, size * n % total AS rest FROM p, s), d AS (SELECT stratum, n, (whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= size - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS take FROM w)
+, t AS (SELECT stratum, event_id, row_number() OVER (PARTITION BY stratum ORDER BY md5('2024w3:' || event_id), event_id) AS position FROM i), q AS (SELECT stratum, event_id, position, n, take FROM t JOIN d USING (stratum) WHERE position <= take)"""
+
+
+@query("a52_audit_draw", _DRAW + " SELECT stratum, event_id, position, n, take FROM q")
+def audit_draw(spark, d):
+    from ..operators import audits as U
+
+    return U.draw(C.table(spark, d, "events").withColumn("stratum", F.col("event_type")), "event_id", "stratum", 101, "2024w3", "ts", "2024-01-05", "2024-01-25")
+
+
+@query("a52_audit_report", _DRAW + """, g AS (SELECT stratum, any_value(n) AS n, count(*) AS drawn, count(*) FILTER (value <= 150) AS graded, count(*) FILTER (value <= 100) AS "right" FROM q JOIN events USING (event_id) GROUP BY stratum)
+SELECT stratum, n, drawn, graded, "right", round("right" / nullif(graded, 0), 6) AS share, CASE WHEN graded > 0 THEN round(greatest(0, "right" / graded + 1.96 * 1.96 / (2 * graded) - 1.96 * sqrt("right" / graded * (1 - "right" / graded) / graded + 1.96 * 1.96 / (4.0 * graded * graded))) / (1 + 1.96 * 1.96 / graded), 6) END AS low,
+  CASE WHEN graded > 0 THEN round(("right" / graded + 1.96 * 1.96 / (2 * graded) + 1.96 * sqrt("right" / graded * (1 - "right" / graded) / graded + 1.96 * 1.96 / (4.0 * graded * graded))) / (1 + 1.96 * 1.96 / graded), 6) END AS high FROM g""")
+def audit_report(spark, d):
+    from ..operators import audits as U
+
+    e = C.table(spark, d, "events")
+    grades = e.select("event_id", F.when(F.col("value") <= 150, F.col("value") <= 100).alias("right"))
+    return U.report(audit_draw(spark, d), grades, "event_id", "stratum")

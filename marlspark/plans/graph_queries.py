@@ -179,3 +179,28 @@ def cited_bridges(spark, d):
     lines = B.lineage(areas, checkpoint)
     found = B.cited(edges, homes, members.select("chunk_id", "leaf", "source_id"), lines)
     return found.select("level", "a", "b", F.size("edges").cast("long").alias("claims"), "sources")
+
+
+# claims between brands and nations as written, one a line item; merges of nations, chained and partly taken back
+_LOG = [(1, "nation1", "nation0", "2024-01-01", None), (2, "nation2", "nation1", "2024-01-02", None), (3, "nation5", "nation6", "2024-01-03", "2024-01-05"), (4, "nation7", "nation6", "2024-01-04", None), (5, "nation6", "nation5", "2024-01-06", None), (6, "nation8", "nation8", "2024-01-06", None)]
+_MERGES = "log AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{t}', TIMESTAMP '{a}', {'NULL' if r is None else f'''TIMESTAMP '{r}' '''})" for i, s, t, a, r in _LOG) + ") v(merge_id, source, target, made_at, reversed_at))"
+_WRITTEN = """written AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, p_brand AS src, 'nation' || s_nationkey AS dst, l_returnflag AS relation, l_linestatus AS stance, l_orderkey AS passage, l_linenumber AS tier, l_discount AS confidence
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def merge_log(spark):
+    rows = spark.createDataFrame(_LOG, "merge_id long, source string, target string, at string, reversed_at string")
+    return rows.withColumns({"at": F.col("at").cast("timestamp_ntz"), "reversed_at": F.col("reversed_at").cast("timestamp_ntz")})
+
+
+@query("g18_claims_after_merges", "WITH RECURSIVE " + _MERGES + ", live AS (SELECT source, target FROM log WHERE reversed_at IS NULL AND source <> target), walk AS (SELECT source, target AS home FROM live UNION ALL SELECT walk.source, live.target FROM walk JOIN live ON walk.home = live.source), homes AS (SELECT source, home FROM walk WHERE home NOT IN (SELECT source FROM live)), " + _WRITTEN + """
+, w AS (SELECT claim_id, src, coalesce(home, dst) AS dst, relation, stance, passage, tier, confidence FROM written LEFT JOIN homes ON dst = source)
+SELECT src, dst, relation, stance, min(claim_id) AS claim_id, len(list_distinct(list(passage)))::INTEGER AS support, max(tier)::INTEGER AS tier, arg_max(confidence, (tier, -claim_id, confidence)) AS confidence, count(*) AS folded FROM w GROUP BY src, dst, relation, stance""")
+def claims_after_merges(spark, d):
+    from ..operators import merges as M
+
+    li, p, s = (C.table(spark, d, t) for t in ("lineitem", "part", "supplier"))
+    w = li.join(p.select("p_partkey", "p_brand"), li.l_partkey == F.col("p_partkey")).join(s.select("s_suppkey", "s_nationkey"), li.l_suppkey == F.col("s_suppkey"))
+    w = w.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id"), F.col("p_brand").alias("src"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("stance"), F.array("l_orderkey").alias("support"), F.col("l_linenumber").alias("tier"), F.col("l_discount").alias("confidence"))
+    found = M.claims(w, M.homes(M.standing(merge_log(spark)), checkpoint))
+    return found.withColumn("support", F.size("support"))
