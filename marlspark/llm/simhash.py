@@ -92,7 +92,7 @@ STRIP = 8
 def _tile_pairs(fps: DataFrame, radius: int, tile: int) -> DataFrame:
     counts = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(0xFFFF)).cast("int") for s in (0, 16, 32, 48)]
     cells = fps.select("fp", F.array(*counts).alias("cell"))
-    size = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    size = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))  # at most 17 ** 4 cells
     tiles = stored(
         cells.join(size, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("fp").alias("fps")),
         "simhash-tiles",
