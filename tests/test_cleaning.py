@@ -146,7 +146,7 @@ def test_the_guard(spark):
     assert have[4] == ("", 0, 0, 0, False, {}) and have[5][0] == "" and have[5][5] == {"empty-link": 1}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_cleaning_again_finds_no_navigation(spark, seed):
     rows = [(i, t, None) for i, t, _ in made(120, seed) if t]
     once = got(spark, rows)
