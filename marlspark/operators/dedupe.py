@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint
 from ..functions.vector import dot, unit
 
 #: Thresholds (fixed values): share of passages, sources that make a passage common, pages and share that make a line boilerplate.
@@ -50,31 +51,72 @@ def translation_pairs(alternates: DataFrame, urls: DataFrame) -> DataFrame:
     return alternates.select(F.col("source_id").alias("later"), bare.alias("at")).join(known, "at").where("later <> earlier").select("later", "earlier")
 
 
-def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048) -> DataFrame:
+def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048, pivots: int = 64) -> DataFrame:
     """(chunk_id, earlier, similarity): each vector's nearest among smaller ids, if strictly nearer than ``above``.
 
-    Blocks of vectors are multiplied as matrices: pairs of blocks are dealt out, and each yields one row a vector.
+    Vectors go to the nearest of ``pivots`` pivots and, ordered by that and their angle from it, into blocks.  Angles obey the triangle inequality, so two blocks whose angles from some
+    pivot are further apart than arccos(above) hold no such pair; they and blocks of larger ids only never meet.  Those that may are multiplied as matrices; each pair of
+    blocks yields one row a vector at most.  Null vectors take no part; a zero vector is like nothing.
     """
+    import math
+
     import numpy as np
     import pyarrow as pa
 
-    parts = max(1, -(-vectors.count() // block))
-    v = vectors.select("chunk_id", unit(F.col("v")).alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
-    packs = v.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "v"))).alias("rows"))  # about ``block`` vectors each
-    left = packs.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = left.join(packs.withColumnRenamed("rows", "b"), "part")
+    spark = vectors.sparkSession
+    size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    plain = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "v").where("v is not null").where(size > 0 if above >= 0 else F.lit(True)).select("chunk_id", unit(F.col("v")).alias("v"))
+    chosen = plain.select("v").orderBy(F.xxhash64("v")).limit(pivots).collect()
+    if not chosen:
+        return spark.createDataFrame([], "chunk_id long, earlier long, similarity double")
+    sent = spark.sparkContext.broadcast(np.array([r["v"] for r in chosen]))  # ``pivots`` vectors
+    reach = math.acos(max(-1.0, min(1.0, above - 1e-6))) + 1e-6 if above >= 0 else math.pi
+    matrix = lambda column: np.asarray(column.flatten()).reshape(len(column), -1)
+
+    def near_pivots(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                angle = np.arccos(np.clip(matrix(part.column(1)) @ sent.value.T, -1, 1))
+                cell = angle.argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["chunk_id", "v", "cell", "angle"])
+
+    dealt = plain.mapInArrow(near_pivots, "chunk_id long, v array<double>, cell int, angle double").repartitionByRange("cell", "angle", "chunk_id").sortWithinPartitions("cell", "angle", "chunk_id")
+    fields = "pack long, ids binary, vecs binary, least long, most long, low array<double>, high array<double>, cells array<struct<cell:int,low:double,high:double>>"
+    schema = pa.schema([("pack", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cells", pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])))])
+
+    def packed(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for i in range(0, b.num_rows, block):
+                part = b.slice(i, block)
+                ids, x, cell, own = np.asarray(part.column(0)), matrix(part.column(1)), np.asarray(part.column(2)), np.asarray(part.column(3))
+                angle = np.arccos(np.clip(x @ sent.value.T, -1, 1))
+                cells = [{"cell": int(c), "low": float(own[cell == c].min()), "high": float(own[cell == c].max())} for c in np.unique(cell)]
+                yield pa.RecordBatch.from_pylist([{"pack": task << 32 | n, "ids": ids.tobytes(), "vecs": x.tobytes(), "least": int(ids.min()), "most": int(ids.max()), "low": angle.min(0).tolist(), "high": angle.max(0).tolist(), "cells": cells}], schema=schema)
+                n += 1
+
+    packs = checkpoint(dealt.mapInArrow(packed, fields))
+    asks = packs.select(F.col("pack").alias("a"), "most", F.posexplode(F.arrays_zip("low", "high")).alias("cell", "z")).select("a", "most", "cell", F.col("z.low").alias("a_low"), F.col("z.high").alias("a_high"))
+    has = packs.select(F.col("pack").alias("b"), "least", F.explode("cells").alias("c")).select("b", "least", "c.cell", F.col("c.low").alias("b_low"), F.col("c.high").alias("b_high"))
+    met = asks.join(has, "cell").where((F.col("least") < F.col("most")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach)).select("a", "b").distinct()
+    one, two = (packs.select(F.col("pack").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("vecs").alias(f"vecs_{k}")) for k in "ab")
+    pairs = met.join(one, "a").join(two, "b")
 
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1)):
-                (ia, va), (ib, vb) = ((np.asarray(z.values.field(0)), np.asarray(z.values.field(1).flatten()).reshape(len(z), -1)) for z in (a, b))
-                sim = np.where(ib[None, :] < ia[:, None], np.round(va @ vb.T, 6), -2.0)
-                best = sim.argmax(1)
-                near = sim[np.arange(len(ia)), best]
+            for ia, va, ib, vb in zip(*(c.to_pylist() for c in batch.columns)):
+                (ia, ib), (va, vb) = (np.frombuffer(z, np.int64) for z in (ia, ib)), (np.frombuffer(z) for z in (va, vb))
+                sim = np.where(ib[None, :] < ia[:, None], np.round(va.reshape(len(ia), -1) @ vb.reshape(len(ib), -1).T, 6), -2.0)
+                # of equal ones the smaller id
+                near = sim.max(1)
+                best = np.where(sim == near[:, None], ib[None, :], np.iinfo(np.int64).max).min(1)
                 ok = near > above
-                yield pa.RecordBatch.from_arrays([pa.array(ia[ok]), pa.array(ib[best[ok]]), pa.array(near[ok])], ["chunk_id", "earlier", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(ia[ok]), pa.array(best[ok]), pa.array(near[ok])], ["chunk_id", "earlier", "similarity"])
 
-    found = pairs.select("a", "b").mapInArrow(run, "chunk_id long, earlier long, similarity double")
+    found = pairs.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(run, "chunk_id long, earlier long, similarity double")
     return found.groupBy("chunk_id").agg(F.max_by("earlier", F.struct("similarity", -F.col("earlier"))).alias("earlier"), F.max("similarity").alias("similarity"))
 
 

@@ -129,3 +129,37 @@ def test_common_words_still_give_candidates(spark):
     assert {r["id"]: r["others"] for r in G.candidates(e).collect()} == want
     members = {(r["kind"], r["word"], r["id"]): r["members"] for r in G.blocks(e).collect()}
     assert len(members) == sum(map(len, words.values())) and members["k", "steel", 0] == 302
+
+
+@pytest.mark.parametrize("above, block", [(0.95, 16), (0.8, 16), (0.3, 16), (0.95, 2048), (-0.5, 32)])
+def test_nearest_earlier(spark, above, block):
+    """Clusters, copies, a zero and a null vector: no pair above the threshold is lost, however small the blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(int(abs(above) * 100) + block)
+    centres = rng.normal(size=(12, 6))
+    x = centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 6)) * 0.12
+    x[40], x[41], x[200] = x[7], x[7], 0.0
+    ids = rng.permutation(300) * 3
+    rows = [(int(i), [float(a) for a in v]) for i, v in zip(ids, x)] + [(5000, None)]
+    got = {r["chunk_id"]: (r["earlier"], r["similarity"]) for r in D.nearest_earlier(spark.createDataFrame(rows, "chunk_id long, v array<double>").repartition(3), above, block, pivots=9).collect()}
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(n == 0, 1, n)
+    sim = np.round(u @ u.T, 6)
+    want = {}
+    for i in range(300):
+        best = max(((sim[i, j], -ids[j]) for j in range(300) if ids[j] < ids[i]), default=None)
+        if best and best[0] > above:
+            want[int(ids[i])] = (int(-best[1]), float(best[0]))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_far_blocks_do_not_meet(spark):
+    """Of clusters far apart, few pairs of blocks are multiplied."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.eye(16), 64, axis=0) + rng.normal(size=(1024, 16)) * 0.01
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "chunk_id long, v array<double>")
+    found = D.nearest_earlier(df, 0.95, 32, pivots=40)
+    assert found.count() == 1024 - 16  # all but each cluster's first
