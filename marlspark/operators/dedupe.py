@@ -64,12 +64,18 @@ def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048,
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    size = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    plain = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "v").where("v is not null").where(size > 0 if above >= 0 else F.lit(True)).select("chunk_id", unit(F.col("v")).alias("v"))
+    plain = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    if above >= 0:
+        plain = plain.where(F.exists("v", lambda x: x != 0))
     chosen = plain.select("v").orderBy(F.xxhash64("v")).limit(pivots).collect()
     if not chosen:
         return spark.createDataFrame([], "chunk_id long, earlier long, similarity double")
-    sent = spark.sparkContext.broadcast(np.array([r["v"] for r in chosen]))  # ``pivots`` vectors
+
+    def units(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n == 0, 1, n)
+
+    sent = spark.sparkContext.broadcast(units(np.array([r["v"] for r in chosen])))  # ``pivots`` vectors
     reach = math.acos(max(-1.0, min(1.0, above - 1e-6))) + 1e-6 if above >= 0 else math.pi
     matrix = lambda column: np.asarray(column.flatten()).reshape(len(column), -1)
 
@@ -77,9 +83,10 @@ def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048,
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                angle = np.arccos(np.clip(matrix(part.column(1)) @ sent.value.T, -1, 1))
+                x = units(matrix(part.column(1)))
+                angle = np.arccos(np.clip(x @ sent.value.T, -1, 1))
                 cell = angle.argmin(1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["chunk_id", "v", "cell", "angle"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(x.reshape(-1), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["chunk_id", "v", "cell", "angle"])
 
     dealt = plain.mapInArrow(near_pivots, "chunk_id long, v array<double>, cell int, angle double").repartitionByRange("cell", "angle", "chunk_id").sortWithinPartitions("cell", "angle", "chunk_id")
     fields = "pack long, ids binary, vecs binary, least long, most long, low array<double>, high array<double>, cells array<struct<cell:int,low:double,high:double>>"
