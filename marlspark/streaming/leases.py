@@ -69,17 +69,17 @@ class Leases(StatefulProcessor):
         for batch in rows:
             # to Python's own numbers, as state takes them
             events = [(int(a), int(s), str(k), str(w), bool(o)) for a, s, k, w, o in zip(batch["at"], batch["seq"], batch["kind"], batch["who"], batch["ok"])]
-            for at in {e[0] for e in events}:
-                self.handle.registerTimer(at)
+            # one timer a batch of events, not one an event: the first that fires takes up all that is due and looks again for the next
+            self.handle.registerTimer(min(e[0] for e in events))
             self.waiting.appendList(events)
-        yield said([], key)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         """Everything up to the watermark, whichever timer comes first; the others then find nothing to do."""
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        held = [tuple(e) for e in self.waiting.get()]
         due = sorted(e for e in held if e[0] <= now)
-        *state, touched = self.job.get() if self.job.exists() else (0, None, 0, 0, 0)
+        *state, touched = self.job.get() or (0, None, 0, 0, 0)
         state, out = tuple(state), []
         for e in due:
             if e[0] - touched >= self.forget * 1000:  # whether its state is still there or not, it is forgotten
@@ -94,6 +94,7 @@ class Leases(StatefulProcessor):
         if due:
             if rest := [e for e in held if e[0] > now]:
                 self.waiting.put(rest)
+                self.handle.registerTimer(min(e[0] for e in rest))
             else:
                 self.waiting.clear()
         if due or out:
@@ -102,7 +103,8 @@ class Leases(StatefulProcessor):
             self.handle.registerTimer(state[2] if state[1] is not None else touched + self.forget * 1000)
         elif not held and state[1] is None and now >= touched + self.forget * 1000:
             self.job.clear()
-        yield said(out, key)
+        if out:
+            yield said(out, key)
 
     def close(self) -> None:
         pass

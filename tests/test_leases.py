@@ -88,3 +88,58 @@ def test_forgotten_jobs(spark, tmp_path):
     with L.with_rocks(spark):
         got = [(x["job"], x["what"], x["failures"]) for x in S.drained(L.leased(stream, 600, forget=86_400 * 10), "append").orderBy("at").collect()]
     assert (1, "failed", 1) in got and [g for g in got if g[0] == 1][-2] == (1, "claimed", 0)
+
+
+def test_one_timer_a_batch_of_events():
+    """Timers grow with the batches of a job, not with its events; what is not due yet gets the next one."""
+
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return iter(list(self.rows))
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    class Value:
+        row = None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+        def getListState(self, *_):  # noqa: N802
+            return Kept()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 30_000
+
+    import pandas as pd
+
+    p, handle = L.Leases(600, 1200, 86_400), Handle()
+    p.init(handle)
+    rows = pd.DataFrame([(1000 * i, i, "poll", "x", True) for i in range(1, 51)], columns=["at", "seq", "kind", "who", "ok"])
+    assert list(p.handleInputRows((7,), iter([rows]), Now())) == [] and handle.timers == [1000]
+    out = list(p.handleExpiredTimer((7,), Now(), None))
+    assert [len(o) for o in out] == [1] and 31_000 in handle.timers and len(p.waiting.rows) == 20
