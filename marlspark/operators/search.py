@@ -139,8 +139,13 @@ def set_back(hits: DataFrame, flagged: Column, id_col: str = "chunk_id") -> Data
 def shingles(text: Column, n: int = FOLD_WORDS) -> Column:
     """The distinct n-word shingles of a text's lower-case words."""
     w = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9à-öø-ÿß]+", " "), " "), lambda x: x != "")
-    last = F.size(w) - n + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+
+    # bound once: written out in the inner function, the words would be split again for every shingle
+    return F.transform(F.array(w), of)[0]
 
 
 def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEAST, share: float = FOLD_SHARE) -> DataFrame:

@@ -163,3 +163,15 @@ def test_far_blocks_do_not_meet(spark):
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "chunk_id long, v array<double>")
     found = D.nearest_earlier(df, 0.95, 32, pivots=40)
     assert found.count() == 1024 - 16  # all but each cluster's first
+
+
+def test_shingles_split_a_text_once(spark):
+    """The words are bound once, not split again for every shingle."""
+    c = S.shingles(F.col("text"))
+    words = [f"W{i % 700}" for i in range(900)]
+    text = spark.createDataFrame([(0, " ".join(words)), (1, "one two"), (2, "")], "id long, text string")
+    frame = text.select("id", c.alias("s"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    got = {r["id"]: r["s"] for r in frame.collect()}
+    low = [w.lower() for w in words]
+    assert got[0] == list(dict.fromkeys(" ".join(low[i : i + 5]) for i in range(896))) and got[1] == got[2] == []
