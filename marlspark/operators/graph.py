@@ -79,14 +79,27 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " "), lambda t: F.char_length(t) > 2))
 
 
-def blocking(entities: DataFrame) -> DataFrame:
-    """(kind, word, members, pairs): each word that entities of a kind share, whatever its frequency, and the pairs that it would block together; none are made.
+def blocking(entities: DataFrame, common: int | None = None) -> DataFrame:
+    """(a, b, shared, same): every pair a < b of entities of a kind that share words, between representatives, and who is represented.
 
-    entities: id, name, kind.
+    Entities of one kind and the same words are a class, its smallest id stands for it.  ``same`` rows tell who is in a class (b is in that of a) with the number of its words; the others
+    are pairs of representatives with the number of words that both classes share.  Two entities share a word if they are of one class or their representatives are a pair; no
+    word is left out unless ``common`` is given, beyond which number of entities a word blocks nothing.
+
+    entities: id, name, kind; id is unique.
     """
-    t = entities.select("id", "kind", F.explode(name_tokens(F.col("name"))).alias("word")).distinct()
-    n = F.count("*")
-    return t.groupBy("kind", "word").agg(n.alias("members")).where("members > 1").withColumn("pairs", F.floor(F.col("members") * (F.col("members") - 1) / 2))
+    t = entities.select("id", "kind", F.array_sort(name_tokens(F.col("name"))).alias("words"))
+    if common is not None:
+        each = t.select("id", "kind", F.explode("words").alias("word"))
+        rare = each.groupBy("kind", "word").agg(F.count("*").alias("n")).where(F.col("n") <= common).select("kind", "word")
+        t = each.join(rare, ["kind", "word"]).groupBy("id", "kind").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    t = t.where(F.size("words") > 0)
+    heads = t.groupBy("kind", "words").agg(F.min("id").alias("a"))
+    members = t.join(heads, ["kind", "words"]).where("id <> a").select("a", F.col("id").alias("b"), F.size("words").cast("long").alias("shared"), F.lit(True).alias("same"))
+    each = heads.select("kind", "a", F.explode("words").alias("word"))
+    met = each.join(each.withColumnRenamed("a", "b"), ["kind", "word"]).where("a < b")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared")).withColumn("same", F.lit(False))
+    return members.unionByName(pairs)
 
 
 def blocks(entities: DataFrame) -> DataFrame:

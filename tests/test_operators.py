@@ -175,3 +175,19 @@ def test_shingles_split_a_text_once(spark):
     got = {r["id"]: r["s"] for r in frame.collect()}
     low = [w.lower() for w in words]
     assert got[0] == list(dict.fromkeys(" ".join(low[i : i + 5]) for i in range(896))) and got[1] == got[2] == []
+
+
+def test_blocking_gives_every_pair(spark):
+    """Out of representatives and membership come exactly the pairs that share a word, however common it is."""
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choices(["red", "blue", "old", "ring", "rod", "xy", "Rod"], k=rng.randrange(4))), rng.choice("kl")) for i in range(120)]
+    words = {i: {w.lower() for w in n.split() if len(w) > 2} for i, n, _ in data}
+    kind = {i: k for i, _, k in data}
+    rows = G.blocking(spark.createDataFrame(data, "id long, name string, kind string")).collect()
+    head = {i: i for i in words} | {r["b"]: r["a"] for r in rows if r["same"]}
+    met = {(r["a"], r["b"]): r["shared"] for r in rows if not r["same"]}
+    for i in words:
+        for j in range(i + 1, 120):
+            a, b = sorted((head[i], head[j]))
+            got = len(words[i]) if a == b else met.get((a, b), 0)
+            assert got == (len(words[i] & words[j]) if kind[i] == kind[j] else 0)
