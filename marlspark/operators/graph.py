@@ -111,23 +111,28 @@ def blocks(entities: DataFrame) -> DataFrame:
     return t.join(t.groupBy("kind", "word").agg(F.count("*").alias("members")), ["kind", "word"])
 
 
-def candidates(entities: DataFrame, limit: int = MAX_CANDIDATES, salts: int = 8) -> DataFrame:
+def candidates(entities: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """(id, others): the first ``limit`` other entities of a kind with the same name or a shared word, equal names (in any case) first, then by id; none gives an empty array.
 
     entities: id, name, kind; id is unique.  No pairs are made and no word is left out: what stands among the first ``limit`` of all that share
-    something stands among the first ``limit`` + 1 of some word or of the name, so every word needs only its smallest ids.  The words of entities are
-    salted, so that a common one is not one task.
+    something stands among the first ``limit`` + 1 of some word or of the name, so every word needs only its smallest ids.  Entities of one kind and
+    name (in any case) see the same others but for themselves, so the first ``limit`` + 1 are found once a name, and each entity takes itself out.
     """
-    low = F.lower(F.trim("name"))
-    keys = F.concat(F.array(F.struct(F.lit(True).alias("exact"), low.alias("word"))), F.transform(name_tokens(F.col("name")), lambda w: F.struct(F.lit(False).alias("exact"), w.alias("word"))))
-    t = entities.select("id", "kind", F.explode(keys).alias("k")).select("id", "kind", "k.exact", "k.word").where("word <> ''")
+    keys = F.concat(F.array(F.struct(F.lit(True).alias("exact"), F.col("low").alias("word"))), F.transform(name_tokens(F.col("low")), lambda w: F.struct(F.lit(False).alias("exact"), w.alias("word"))))
+    own = entities.select("id", "kind", F.lower(F.trim("name")).alias("low"))
+
+    def smallest(t: DataFrame, by: list[str]) -> DataFrame:
+        first = t.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= limit + 1)
+        return first.groupBy(*by).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+    names = smallest(own.where("low <> ''"), ["kind", "low"]).withColumn("k", F.explode(keys)).select("kind", "low", "ids", "k.exact", "k.word").where("word <> ''")
     by = ["kind", "exact", "word"]
-    first = t.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= limit + 1)
-    heads = first.groupBy(*by).agg(F.collect_list("id").alias("ids")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = t.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(heads, [*by, "salt"])
-    other = met.select("id", "exact", F.explode("ids").alias("other")).where("id <> other").groupBy("id", "other").agg(F.max("exact").alias("exact"))
-    best = other.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((~F.col("exact")).alias("later"), "other"))), 1, limit)["other"].alias("others"))
-    return entities.select("id").join(best, "id", "left").select("id", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
+    heads = smallest(names.select(*by, F.explode("ids").alias("id")), by)
+    met = names.drop("ids").join(heads, by).groupBy("kind", "low").agg(F.collect_list(F.struct("exact", "ids")).alias("met"))
+    of = lambda exact: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("met", lambda m: m["exact"] == exact), lambda m: m["ids"]))))
+    best = met.select("kind", "low", F.slice(F.concat(of(True), F.array_except(of(False), of(True))), 1, limit + 1).alias("first"))
+    found = own.join(best, ["kind", "low"], "left")
+    return found.select("id", F.coalesce(F.slice(F.filter("first", lambda x: x != F.col("id")), 1, limit), F.array().cast("array<long>")).alias("others"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

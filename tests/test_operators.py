@@ -191,3 +191,15 @@ def test_blocking_gives_every_pair(spark):
             a, b = sorted((head[i], head[j]))
             got = len(words[i]) if a == b else met.get((a, b), 0)
             assert got == (len(words[i] & words[j]) if kind[i] == kind[j] else 0)
+
+
+def test_candidates_are_found_once_a_name(spark):
+    """Copies of a name don't multiply the rows that are met: a thousand entities of two names make a few dozen."""
+    e = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "Red bolt").otherwise("red rod").alias("name"), F.lit("k").alias("kind"))
+    made = G.candidates(e)
+    got = {r["id"]: r["others"] for r in made.collect()}
+    for i in (0, 1, 30, 999):
+        want = sorted((j % 2 != i % 2, j) for j in range(1000) if j != i)
+        assert got[i] == [j for _, j in want[:25]]
+    assert "salt" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert G.candidates(spark.createDataFrame([(1, None, "k"), (2, " ", "k"), (3, "AB", "k"), (4, "ab ", "k")], "id long, name string, kind string")).orderBy("id").collect() == [(1, []), (2, []), (3, [4]), (4, [3])]
