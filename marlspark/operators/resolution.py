@@ -144,7 +144,22 @@ def resolved(mentions: DataFrame, entities: DataFrame, expansions: DataFrame | N
 
     band: ``merge`` (entity_id is the entity), ``adjudicate`` (a new one; candidate_id is to be looked at), ``separate`` (a new one), ``refused`` (a blank name).
     All mentions are held against the entities as they were; new entities of one name in any case, kind and jurisdiction are one, whose ``new_key`` is the smallest mention id.
+    Without ``near``, mentions that agree in name, kind, jurisdiction and vector are judged once, by the smallest of their ids.
     """
+    if near is not None:
+        return _resolved(mentions, entities, expansions, near, limit, salts)
+    like = ["name", "kind", "jurisdiction", "v"]
+    plain = mentions.withColumn("name", F.trim("name")).select("mention_id", *like)
+    classes = plain.groupBy(*like).agg(F.min("mention_id").alias("mention_id"))
+    judged = _resolved(classes, entities, expansions, None, limit, salts)
+    each = classes.select(F.col("mention_id").alias("of"), *(F.col(c).alias(f"of_{c}") for c in like)).join(judged.withColumnRenamed("mention_id", "of"), "of")
+    same = F.lit(True)
+    for c in like:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return plain.join(each, same).select(*judged.columns)
+
+
+def _resolved(mentions: DataFrame, entities: DataFrame, expansions: DataFrame | None, near: DataFrame | None, limit: int, salts: int) -> DataFrame:
     named = mentions.select("mention_id", "kind", "jurisdiction", F.col("v").alias("mv"), F.trim("name").alias("name"))
     real = named.where("name <> ''")
     live = entities.where("redirects_to is null and trim(name) <> ''").select("entity_id", "kind", F.col("jurisdiction").alias("ej"), F.col("v").alias("ev"), F.trim("name").alias("entity"))

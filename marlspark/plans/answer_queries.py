@@ -111,6 +111,7 @@ def mentions(spark, d):
     found = G.find(C.table(spark, d, "documents"), known.select("surface", "cased").distinct(), "doc_id").join(known, ["surface", "cased"])
     said = found.groupBy("doc_id", "surface", F.col("entity_type").alias("kind")).agg(F.min("start").alias("start"))
     m = said.select(F.xxhash64("doc_id", "surface", "kind").alias("mention_id"), F.col("surface").alias("name"), "kind", F.lit(None).cast("string").alias("jurisdiction"), F.lit(None).cast("array<double>").alias("v"))
+    m = checkpoint(m)  # texts are matched once
     short = t.where("approved").select(F.explode("aliases").alias("short"), F.lower("canonical").alias("long")).where("not contains(short, ' ')").groupBy(F.lower("short").alias("short")).agg(F.min("long").alias("long"))
     return R.resolved(m, entities, short)
 

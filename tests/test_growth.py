@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlspark.operators import fulltext as X
+from marlspark.operators import resolution as R
 from marlspark.plans import graph_queries, standing_queries
 
 
@@ -19,3 +20,12 @@ def test_postings_are_made_without_a_shuffle_and_counted_from_what_was_written(s
     assert {(r["word"], r["chunk_id"]): (r["length"], list(r["places"])) for r in rows.collect()} == {("der", 1): (5, [0, 3]), ("rote", 1): (5, [1]), ("ring", 1): (5, [2, 4]), ("ring", 2): (1, [0])}
     index = X.write_index(p, str(tmp_path / "i"))
     assert {(r["word"], r["id"], r["held"]) for r in X.read(spark, index, ["ring", "rote"]).collect()} == {("ring", 1, 2), ("ring", 2, 2), ("rote", 1, 1)}
+
+
+def test_mentions_alike_are_judged_once(spark):
+    fields = "mention_id long, name string, kind string, jurisdiction string, v array<double>"
+    rows = [(i, ["Red Bolt", " red bolt", None, "New Rod", "old thing"][i % 5], "k", [None, "DE"][i % 2], [None, [1.0, 0.0]][i % 3 == 0]) for i in range(60)]
+    m = spark.createDataFrame(rows, fields)
+    e = spark.createDataFrame([(1, "Red Bolt", "k", "DE", None, [1.0, 1.0]), (2, "New Red Rod", "k", None, None, None)], "entity_id long, name string, kind string, jurisdiction string, redirects_to long, v array<double>")
+    one = R._resolved(m, e, None, None, 25, 8)
+    assert sorted(map(str, R.resolved(m, e).collect())) == sorted(map(str, one.collect()))
