@@ -243,10 +243,11 @@ def by_context(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str =
     whose = all_forms.groupBy("key").agg(F.min("term_id").alias("owner"), F.first("reason").alias("why"), F.first("terms").alias("terms"))
     found = find(texts, all_forms.select("surface", "cased").distinct(), id_col, text_col, most_chars).withColumn("key", _key())
     met = found.join(whose, "key").select(id_col, "start", "end", "why", "owner", "terms")
-    named = met.where("why is null").select(id_col, F.col("owner").alias("term")).distinct()
-    held = met.where("why is not null")
-    candidates = held.select(id_col, "start", F.explode("terms").alias("term")).join(named, [id_col, "term"]).groupBy(id_col, "start").agg(F.count("*").alias("n"), F.min("term").alias("term"))
-    judged = held.join(candidates, [id_col, "start"], "left").select(
-        id_col, "start", "end", F.when(F.col("n") == 1, F.col("term")).alias("term_id"), F.when(F.col("n") == 1, "context").otherwise(F.col("why")).alias("reason")
+    # who the document names otherwise stands beside each match, so texts are matched once
+    known = F.collect_set(F.when(F.col("why").isNull(), F.col("owner"))).over(Window.partitionBy(id_col))
+    of = F.array_intersect("terms", known)
+    judged = met.withColumn("of", F.when(F.col("why").isNotNull(), of))
+    one = F.size("of") == 1
+    return judged.select(
+        id_col, "start", "end", F.when(F.col("why").isNull(), F.col("owner")).when(one, F.get("of", F.lit(0))).alias("term_id"), F.when(F.col("why").isNotNull(), F.when(one, "context").otherwise(F.col("why"))).alias("reason")
     )
-    return met.where("why is null").select(id_col, "start", "end", F.col("owner").alias("term_id"), F.lit(None).cast("string").alias("reason")).unionByName(judged)

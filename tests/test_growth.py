@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlspark.operators import fulltext as X
+from marlspark.operators import gazetteer as G
 from marlspark.operators import resolution as R
 from marlspark.plans import graph_queries, standing_queries
 
@@ -29,3 +30,14 @@ def test_mentions_alike_are_judged_once(spark):
     e = spark.createDataFrame([(1, "Red Bolt", "k", "DE", None, [1.0, 1.0]), (2, "New Red Rod", "k", None, None, None)], "entity_id long, name string, kind string, jurisdiction string, redirects_to long, v array<double>")
     one = R._resolved(m, e, None, None, 25, 8)
     assert sorted(map(str, R.resolved(m, e).collect())) == sorted(map(str, one.collect()))
+
+
+TERMS = "term_id long, canonical string, aliases array<string>, entity_type string, approved boolean, ambiguous boolean, rejected boolean"
+
+
+def test_context_matches_texts_once(spark):
+    terms = spark.createDataFrame([(1, "Alpha Body", ["shared"], "agency", True, False, False), (2, "Beta Body", ["shared"], "agency", True, False, False)], TERMS)
+    texts = spark.createDataFrame([(1, "Alpha Body and shared"), (2, "shared"), (3, "Alpha Body, Beta Body, shared")], "id long, text string")
+    out = G.by_context(texts, terms, "id")
+    assert plan(out).count("MapInArrow") == 1
+    assert sorted((r["id"], r["term_id"] or 0, r["reason"] or "") for r in out.collect()) == [(1, 1, ""), (1, 1, "context"), (2, 0, "collision"), (3, 0, "collision"), (3, 1, ""), (3, 2, "")]
