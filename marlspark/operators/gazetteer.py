@@ -136,6 +136,14 @@ def _matcher(sent) -> Matcher:
 
 
 _BESIDE = re.compile(BESIDE)
+#: Matches that a task holds as Python objects before it hands them on.
+FLUSHED = 20_000
+
+
+def _found(ids: pa.Array, got: list[tuple]) -> pa.RecordBatch:
+    at, *columns = zip(*got)
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "start", "end", "beside", "surface", "cased"])
 
 
 def find(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text", most_chars: int = MOST_CHARS) -> DataFrame:
@@ -158,14 +166,16 @@ def find(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "text"
             m, names = _matcher(sent), sent.value
             for b in batches:
                 got = []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    last = -1
+                for i in range(b.num_rows):
+                    t, last = b.column(1)[i].as_py(), -1
                     for s, e, k in m.find(t):
                         got.append((i, s, e, last >= 0 and bool(_BESIDE.fullmatch(t, last, s)), *names[k]))
                         last = e
-                at, *columns = zip(*got) if got else [[]] * 6
-                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "start", "end", "beside", "surface", "cased"])
+                        if len(got) == FLUSHED:
+                            yield _found(b.column(0), got)
+                            got = []
+                if got:
+                    yield _found(b.column(0), got)
 
         kind = dict(plain.dtypes)["id"]
         return plain.mapInArrow(run, f"id {kind}, start int, `end` int, beside boolean, surface string, cased boolean").withColumnRenamed("id", id_col)

@@ -41,3 +41,10 @@ def test_context_matches_texts_once(spark):
     out = G.by_context(texts, terms, "id")
     assert plan(out).count("MapInArrow") == 1
     assert sorted((r["id"], r["term_id"] or 0, r["reason"] or "") for r in out.collect()) == [(1, 1, ""), (1, 1, "context"), (2, 0, "collision"), (3, 0, "collision"), (3, 1, ""), (3, 2, "")]
+
+
+def test_many_matches_of_one_text(spark):
+    n = G.FLUSHED + 5
+    names = spark.createDataFrame([("ab", False)], "surface string, cased boolean")
+    got = G.find(spark.createDataFrame([(1, "ab " * n), (2, "x ab"), (3, "")], "id long, text string"), names, "id")
+    assert {(r["id"], r["n"], r["b"]) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.count_if("beside").alias("b")).collect()} == {(1, n, n - 1), (2, 1, 0)}
