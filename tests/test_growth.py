@@ -48,3 +48,8 @@ def test_many_matches_of_one_text(spark):
     names = spark.createDataFrame([("ab", False)], "surface string, cased boolean")
     got = G.find(spark.createDataFrame([(1, "ab " * n), (2, "x ab"), (3, "")], "id long, text string"), names, "id")
     assert {(r["id"], r["n"], r["b"]) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.count_if("beside").alias("b")).collect()} == {(1, n, n - 1), (2, 1, 0)}
+
+
+def test_acronym_verdicts_read_texts_once(spark, sf_dir):
+    out = standing_queries.acronym_verdicts(spark, sf_dir)
+    assert "Arrow" not in plan(out) and out.count() > 0  # what was read is counted and written before it is asked twice
