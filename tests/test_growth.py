@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlspark.operators import fulltext as X
 from marlspark.operators import gazetteer as G
+from marlspark.operators import passages as T
 from marlspark.operators import resolution as R
 from marlspark.plans import graph_queries, standing_queries
 
@@ -57,3 +58,9 @@ def test_acronym_verdicts_read_texts_once(spark, sf_dir):
 
 def test_brands_are_ranked_not_parts(spark, sf_dir):
     assert "dense_rank" not in plan(graph_queries.cited_bridges(spark, sf_dir))
+
+
+def test_passages_of_a_text_beyond_what_is_handed_on_at_once(spark):
+    text = "word. " * (T.CUT // 3)
+    got = T.passages(spark.createDataFrame([(1, text), (2, None), (3, "One. Two.")], "id long, text string"), "id").orderBy("id", "place").collect()
+    assert [(r["start"], r["start"] + len(r["text"])) for r in got if r["id"] == 1] == T.spans(text) and [r["id"] for r in got][-1] == 3
