@@ -199,7 +199,8 @@ def new_since(sources: DataFrame, since: str, until: str, days: str = "created_a
 
 def by_country(items: DataFrame, cities: DataFrame) -> DataFrame:
     """(country, sources, best): cities count for their country, sources without any place are ``unplaced``.  items: source_id, score, place; cities: city, country."""
-    placed = items.join(cities, F.col("place") == F.col("city"), "left").withColumn("country", F.coalesce("country", "place", F.lit("unplaced")))
+    # a city that is listed twice for a country would multiply the items
+    placed = items.join(cities.select("city", "country").distinct(), F.col("place") == F.col("city"), "left").withColumn("country", F.coalesce("country", "place", F.lit("unplaced")))
     g = placed.groupBy("country").agg(F.count_distinct("source_id").alias("sources"), F.max("score").alias("best"))
     return g
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlspark.operators import fulltext as X
 from marlspark.operators import gazetteer as G
 from marlspark.operators import passages as T
+from marlspark.operators import reports as P
 from marlspark.operators import resolution as R
 from marlspark.plans import graph_queries, standing_queries
 
@@ -64,3 +65,10 @@ def test_passages_of_a_text_beyond_what_is_handed_on_at_once(spark):
     text = "word. " * (T.CUT // 3)
     got = T.passages(spark.createDataFrame([(1, text), (2, None), (3, "One. Two.")], "id long, text string"), "id").orderBy("id", "place").collect()
     assert [(r["start"], r["start"] + len(r["text"])) for r in got if r["id"] == 1] == T.spans(text) and [r["id"] for r in got][-1] == 3
+
+
+def test_repeated_cities_count_once_before_the_join(spark):
+    items = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "a"), (3, 1.0, "z"), (4, 5.0, None)], "source_id long, score double, place string")
+    out = P.by_country(items, spark.createDataFrame([("a", "A")] * 50, "city string, country string"))
+    assert sorted(map(tuple, out.collect())) == [("A", 2, 3.0), ("unplaced", 1, 5.0), ("z", 1, 1.0)]
+    assert "Aggregate [city" in plan(out)
