@@ -51,12 +51,12 @@ def translation_pairs(alternates: DataFrame, urls: DataFrame) -> DataFrame:
     return alternates.select(F.col("source_id").alias("later"), bare.alias("at")).join(known, "at").where("later <> earlier").select("later", "earlier")
 
 
-def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048, pivots: int = 64) -> DataFrame:
+def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 8192, pivots: int = 64, tile: int = 512) -> DataFrame:
     """(chunk_id, earlier, similarity): each vector's nearest among smaller ids, if strictly nearer than ``above``.
 
     Vectors go to the nearest of ``pivots`` pivots and, ordered by that and their angle from it, into blocks.  Angles obey the triangle inequality, so two blocks whose angles from some
-    pivot are further apart than arccos(above) hold no such pair; they and blocks of larger ids only never meet.  Those that may are multiplied as matrices; each pair of
-    blocks yields one row a vector at most.  Null vectors take no part; a zero vector is like nothing.
+    pivot are further apart than arccos(above) hold no such pair; they and blocks of larger ids only never meet.  Those that may are multiplied as matrices, ``tile`` rows at a time; each pair of
+    blocks yields one row a vector at most.  The pairs are quadratic; what is shuffled for them falls as ``block`` grows.  Null vectors take no part; a zero vector is like nothing.
     """
     import math
 
@@ -116,12 +116,15 @@ def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 2048,
         for batch in batches:
             for ia, va, ib, vb in zip(*(c.to_pylist() for c in batch.columns)):
                 (ia, ib), (va, vb) = (np.frombuffer(z, np.int64) for z in (ia, ib)), (np.frombuffer(z) for z in (va, vb))
-                sim = np.where(ib[None, :] < ia[:, None], np.round(va.reshape(len(ia), -1) @ vb.reshape(len(ib), -1).T, 6), -2.0)
-                # of equal ones the smaller id
-                near = sim.max(1)
-                best = np.where(sim == near[:, None], ib[None, :], np.iinfo(np.int64).max).min(1)
-                ok = near > above
-                yield pa.RecordBatch.from_arrays([pa.array(ia[ok]), pa.array(best[ok]), pa.array(near[ok])], ["chunk_id", "earlier", "similarity"])
+                x, y = va.reshape(len(ia), -1), vb.reshape(len(ib), -1)
+                for at in range(0, len(ia), tile):
+                    own = ia[at : at + tile]
+                    sim = np.where(ib[None, :] < own[:, None], np.round(x[at : at + tile] @ y.T, 6), -2.0)
+                    # of equal ones the smaller id
+                    near = sim.max(1)
+                    best = np.where(sim == near[:, None], ib[None, :], np.iinfo(np.int64).max).min(1)
+                    ok = near > above
+                    yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(best[ok]), pa.array(near[ok])], ["chunk_id", "earlier", "similarity"])
 
     found = pairs.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(run, "chunk_id long, earlier long, similarity double")
     return found.groupBy("chunk_id").agg(F.max_by("earlier", F.struct("similarity", -F.col("earlier"))).alias("earlier"), F.max("similarity").alias("similarity"))

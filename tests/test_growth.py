@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlspark.operators import dedupe as D
 from marlspark.operators import fulltext as X
 from marlspark.operators import gazetteer as G
 from marlspark.operators import passages as T
@@ -72,3 +73,13 @@ def test_repeated_cities_count_once_before_the_join(spark):
     out = P.by_country(items, spark.createDataFrame([("a", "A")] * 50, "city string, country string"))
     assert sorted(map(tuple, out.collect())) == [("A", 2, 3.0), ("unplaced", 1, 5.0), ("z", 1, 1.0)]
     assert "Aggregate [city" in plan(out)
+
+
+def test_nearest_earlier_in_tiles(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(150, 4))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 6)
+    got = {r["chunk_id"]: r["earlier"] for r in D.nearest_earlier(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, v array<double>"), 0.3, tile=7).collect()}
+    assert got == {i: int(sim[i, :i].argmax()) for i in range(1, 150) if sim[i, :i].max() > 0.3}
