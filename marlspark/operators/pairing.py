@@ -139,15 +139,26 @@ def nearest_matched(new: DataFrame, old: DataFrame, checkpoint: Callable[[DataFr
     Each part's line is cut into tiles of bounded rows, and a task goes down its tile's pairs; what hangs on other tiles stays open for the next round, whose
     cuts lie elsewhere.  Tiles double when a round leaves more than half of the open ones.
 
-    new: new, part, at; old: old, part, at, of whole numbers as ids.  Places that are null or not finite take no part.
+    new: new, part, at; old: old, part, at, of whole numbers as ids.  Null places take no part.  A likeness that is not a number counts as above all, so the few
+    places that are not finite are paired first, by ``matched``.
     """
     nodes = new.select("part", F.col("at").cast("double").alias("at"), F.col("new").cast("long").alias("id"), F.lit(True).alias("is_new"))
     nodes = nodes.unionByName(old.select("part", F.col("at").cast("double").alias("at"), F.col("old").cast("long").alias("id"), F.lit(False).alias("is_new")))
-    live = checkpoint(nodes.where((F.abs("at") < inf) & F.col("part").isNotNull() & F.col("id").isNotNull()).distinct())
+    live = checkpoint(nodes.where("part is not null and at is not null and id is not null").distinct())
     near = similarity(F.col("x"), F.col("y"), span, digits)
+
+    def pairs(news: DataFrame, olds: DataFrame) -> DataFrame:
+        a, b = news.where("is_new").select("part", F.col("id").alias("new"), F.col("at").alias("x")), olds.where("not is_new").select("part", F.col("id").alias("old"), F.col("at").alias("y"))
+        return a.join(b, "part").select("new", "old", near.alias("similarity"))
+
     if not live.groupBy("is_new", "id").count().where("count > 1").isEmpty():  # an id in several places ties tiles and parts together
-        side = lambda is_new, name, at: live.where(F.col("is_new") == is_new).select("part", F.col("id").alias(name), F.col("at").alias(at))
-        return matched(side(True, "new", "x").join(side(False, "old", "y"), "part").select("new", "old", near.alias("similarity")), checkpoint, least)
+        return matched(pairs(live, live), checkpoint, least)
+    plain, first = F.abs("at") < inf, None
+    odd = live.where(~plain)
+    if not odd.isEmpty():
+        first = matched(pairs(odd, live).unionByName(pairs(live.where(plain), odd)).where(F.isnan("similarity")), checkpoint, least)
+        gone = first.select(F.col("new").alias("id"), F.lit(True).alias("is_new")).unionByName(first.select(F.col("old").alias("id"), F.lit(False).alias("is_new")))
+        live = checkpoint(live.where(plain).join(gone, ["id", "is_new"], "left_anti"))
     far, width, spread = levels(digits, least), span / 10**digits, int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, left, shift = None, None, 0
     while True:
@@ -158,7 +169,8 @@ def nearest_matched(new: DataFrame, old: DataFrame, checkpoint: Callable[[DataFr
         open_ = judged.where("old is null").select(F.col("new").alias("id"))
         now = open_.count()
         if not now:
-            return found.select("new", "old", near.alias("similarity"))
+            found = found.select("new", "old", near.alias("similarity"))
+            return found if first is None else found.unionByName(first)
         if left is not None and now * 2 > left:
             rows *= 2
         left, shift = now, 0 if shift else rows // 2

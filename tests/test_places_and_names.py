@@ -202,11 +202,12 @@ def test_matching_by_walking_down(spark):
 
 
 def walked_down(news, olds, span=20000):
-    """All pairs of a part, best first, walked down in memory; halves round up, in decimals as printed."""
+    """All pairs of a part, best first, walked down in memory; halves round up, in decimals as printed; what is not a number is above all, and given as infinite."""
     rows = []
     for (i, p, x), (j, q, y) in ((a, b) for a in news for b in olds):
-        if None not in (x, y) and p == q and math.isfinite(x) and math.isfinite(y):
-            s = float(Decimal(repr(1 - abs(x - y) / span)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        if None not in (x, y) and p == q:
+            s = 1 - abs(x - y) / span
+            s = math.inf if math.isnan(s) else float(Decimal(repr(s)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) if math.isfinite(s) else s
             if s >= A.SAME_AREA:
                 rows.append((i, j, s))
     want, a, b = [], set(), set()
@@ -225,9 +226,11 @@ def test_tiles_give_what_the_walk_gives(spark, seed, n, m, wide, values, rows):
     news, olds = [(i * 7 % 1009, r.randrange(2), r.choice(at)) for i in range(n)], [(i, r.randrange(2), r.choice(at)) for i in range(m)]
     if seed == 2:  # ids that rise along the line hang on each other from end to end
         news = [(i, p, x) for i, (_, p, x) in enumerate(sorted(news, key=lambda t: t[2]))]
-    news += [(5000, 0, None), (5001, 1, math.nan)]
+    if seed in (2, 4):
+        news += [(5000, 0, None), (5001, 1, math.nan), (5002, 0, math.inf), (5003, 1, -math.inf)]
+        olds += [(6000, 1, math.nan), (6001, 0, math.inf), (6002, 1, math.inf), (6003, 0, None)]
     frames = [spark.createDataFrame(t, f"{name} long, part int, at double") for name, t in (("new", news), ("old", olds))]
-    got = sorted(tuple(x) for x in P.nearest_matched(*frames, checkpoint, span=20000, rows=rows).collect())
+    got = sorted((a, b, math.inf if math.isnan(s) else s) for a, b, s in P.nearest_matched(*frames, checkpoint, span=20000, rows=rows).collect())
     assert got and got == walked_down(news, olds)
 
 
