@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marlspark.llm import ann, bpe, packing, warc
@@ -222,3 +223,20 @@ def test_a_task_merges_its_lists(spark, monkeypatch):
     a = rows(ann.search(v, v.where("vec_id % 100 = 0"), rerank=1.0, block=50).orderBy("query_id", "rank"))
     monkeypatch.setattr(ann, "MOST_HELD", 5)
     assert a == rows(ann.search(v, v.where("vec_id % 100 = 0"), rerank=1.0, block=50).orderBy("query_id", "rank")) and len(a) == 90
+
+
+def test_queries_dealt_to_all_lanes_are_not_broadcast(spark):
+    x = np.random.default_rng(4).normal(size=(90, 3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(v, v.where("vec_id % 10 = 0"), k=2, pivots=16, prefix=4, rerank=1.0)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()}
+    far = np.linalg.norm(x[:, None] - x[None], axis=2) + 1e9 * np.eye(90)
+    assert got == {(q, n + 1): int(far[q].argsort()[n]) for q in range(0, 90, 10) for n in range(2)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pivots_are_those_of_the_smallest_hashes(spark):
+    v = spark.createDataFrame([([float(i), 1.0],) for i in range(3000)], "vec array<double>").repartition(30)
+    for n in (5, 1000):
+        want = v.orderBy(F.xxhash64("vec")).limit(n).collect()
+        assert [r["vec"] for r in ann.smallest_hashes(v, n)] == [r["vec"] for r in want]
