@@ -51,12 +51,17 @@ def translation_pairs(alternates: DataFrame, urls: DataFrame) -> DataFrame:
     return alternates.select(F.col("source_id").alias("later"), bare.alias("at")).join(known, "at").where("later <> earlier").select("later", "earlier")
 
 
+#: Parts that the vectors of ``nearest_earlier`` are dealt to: every two parts meet in a task, so a vector comes back from as many tasks.
+PARTS = 24
+
+
 def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 8192, pivots: int = 64, tile: int = 512) -> DataFrame:
     """(chunk_id, earlier, similarity): each vector's nearest among smaller ids, if strictly nearer than ``above``.
 
     Vectors go to the nearest of ``pivots`` pivots and, ordered by that and their angle from it, into blocks.  Angles obey the triangle inequality, so two blocks whose angles from some
-    pivot are further apart than arccos(above) hold no such pair; they and blocks of larger ids only never meet.  Those that may are multiplied as matrices, ``tile`` rows at a time; each pair of
-    blocks yields one row a vector at most.  The pairs are quadratic; what is shuffled for them falls as ``block`` grows.  Null vectors take no part; a zero vector is like nothing.
+    pivot are further apart than arccos(above) hold no such pair and aren't multiplied.  The pairs are quadratic, but nothing is shuffled for them: blocks are written once, and a task reads the blocks of
+    two of at most PARTS parts, multiplies each two once, ``tile`` rows at a time and in single precision, measures what may be nearest in double precision, and yields one row a vector at most.
+    Null vectors take no part; a zero vector is like nothing.
     """
     import math
 
@@ -88,9 +93,10 @@ def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 8192,
                 cell = angle.argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(x.reshape(-1), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], ["chunk_id", "v", "cell", "angle"])
 
-    dealt = plain.mapInArrow(near_pivots, "chunk_id long, v array<double>, cell int, angle double").repartitionByRange("cell", "angle", "chunk_id").sortWithinPartitions("cell", "angle", "chunk_id")
-    fields = "pack long, ids binary, vecs binary, least long, most long, low array<double>, high array<double>, cells array<struct<cell:int,low:double,high:double>>"
-    schema = pa.schema([("pack", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cells", pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])))])
+    parts = max(1, min(PARTS, plain.count() // 4096))
+    dealt = plain.mapInArrow(near_pivots, "chunk_id long, v array<double>, cell int, angle double").repartitionByRange(parts, "cell", "angle", "chunk_id").sortWithinPartitions("cell", "angle", "chunk_id")
+    fields = "pack long, ids binary, vecs binary, low array<double>, high array<double>, cells array<struct<cell:int,low:double,high:double>>"
+    schema = pa.schema([("pack", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cells", pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])))])
 
     def packed(batches):
         from pyspark import TaskContext
@@ -102,34 +108,82 @@ def nearest_earlier(vectors: DataFrame, above: float = 0.95, block: int = 8192,
                 ids, x, cell, own = np.asarray(part.column(0)), matrix(part.column(1)), np.asarray(part.column(2)), np.asarray(part.column(3))
                 angle = np.arccos(np.clip(x @ sent.value.T, -1, 1))
                 cells = [{"cell": int(c), "low": float(own[cell == c].min()), "high": float(own[cell == c].max())} for c in np.unique(cell)]
-                yield pa.RecordBatch.from_pylist([{"pack": task << 32 | n, "ids": ids.tobytes(), "vecs": x.tobytes(), "least": int(ids.min()), "most": int(ids.max()), "low": angle.min(0).tolist(), "high": angle.max(0).tolist(), "cells": cells}], schema=schema)
+                by_id = np.argsort(ids, kind="stable")
+                yield pa.RecordBatch.from_pylist([{"pack": task << 32 | n, "ids": ids[by_id].tobytes(), "vecs": x[by_id].tobytes(), "low": angle.min(0).tolist(), "high": angle.max(0).tolist(), "cells": cells}], schema=schema)
                 n += 1
 
-    packs = checkpoint(dealt.mapInArrow(packed, fields))
-    asks = packs.select(F.col("pack").alias("a"), "most", F.posexplode(F.arrays_zip("low", "high")).alias("cell", "z")).select("a", "most", "cell", F.col("z.low").alias("a_low"), F.col("z.high").alias("a_high"))
-    has = packs.select(F.col("pack").alias("b"), "least", F.explode("cells").alias("c")).select("b", "least", "c.cell", F.col("c.low").alias("b_low"), F.col("c.high").alias("b_high"))
-    met = asks.join(has, "cell").where((F.col("least") < F.col("most")) & (F.col("a_low") - F.col("b_high") <= reach) & (F.col("b_low") - F.col("a_high") <= reach)).select("a", "b").distinct()
-    one, two = (packs.select(F.col("pack").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("vecs").alias(f"vecs_{k}")) for k in "ab")
-    pairs = met.join(one, "a").join(two, "b")
+    packs = checkpoint(dealt.mapInArrow(packed, fields)).coalesce(parts)
+    one = packs.select(F.col("pack").alias("a"), F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"), "low", "high")
+    two = packs.select(F.col("pack").alias("b"), F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"), "cells")
+    from_pivot = lambda side, c: F.element_at(side, c["cell"] + 1)
+    near = F.exists("cells", lambda c: (from_pivot(F.col("low"), c) - c["high"] <= reach) & (c["low"] - from_pivot(F.col("high"), c) <= reach))
+    # a product of partitions, each read where it lies: to meet by a shuffle, a block would be copied once for every other
+    pairs = one.join(two.hint("shuffle_replicate_nl"), (F.col("a") <= F.col("b")) & near).select("a", "ids_a", "vecs_a", "b", "ids_b", "vecs_b")
 
     def run(batches):
+        best: dict[int, tuple] = {}  # of each block met: ids, the similarity of the nearest so far, and which it is
+
         for batch in batches:
-            for ia, va, ib, vb in zip(*(c.to_pylist() for c in batch.columns)):
-                (ia, ib), (va, vb) = (np.frombuffer(z, np.int64) for z in (ia, ib)), (np.frombuffer(z) for z in (va, vb))
-                x, y = va.reshape(len(ia), -1), vb.reshape(len(ib), -1)
-                for at in range(0, len(ia), tile):
-                    own = ia[at : at + tile]
-                    sim = np.where(ib[None, :] < own[:, None], np.round(x[at : at + tile] @ y.T, 6), -2.0)
-                    # of equal ones the smaller id
-                    near = sim.max(1)
-                    best = np.where(sim == near[:, None], ib[None, :], np.iinfo(np.int64).max).min(1)
-                    ok = near > above
-                    yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(best[ok]), pa.array(near[ok])], ["chunk_id", "earlier", "similarity"])
-
-    found = pairs.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(run, "chunk_id long, earlier long, similarity double")
+            for k in range(batch.num_rows):
+                (a, ia, va), (b, ib, vb) = ((batch.column(at)[k].as_py(), np.frombuffer(batch.column(at + 1)[k].as_buffer(), np.int64), np.frombuffer(batch.column(at + 2)[k].as_buffer())) for at in (0, 3))
+                for pack, ids in ((a, ia), (b, ib)):
+                    if pack not in best:
+                        best[pack] = ids.copy(), np.full(len(ids), above), np.full(len(ids), np.iinfo(np.int64).max)
+                meet(va.reshape(len(ia), -1), vb.reshape(len(ib), -1), best[a], best[b], tile, a == b)
+        for ids, sim, which in best.values():
+            ok = sim > above
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(which[ok]), pa.array(sim[ok])], ["chunk_id", "earlier", "similarity"])
+
+    # dealt by id before they are summed up: a task has each vector once, so there is nothing to sum up before
+    found = pairs.mapInArrow(run, "chunk_id long, earlier long, similarity double").repartition("chunk_id")
     return found.groupBy("chunk_id").agg(F.max_by("earlier", F.struct("similarity", -F.col("earlier"))).alias("earlier"), F.max("similarity").alias("similarity"))
 
 
+def meet(x, y, best_x: tuple, best_y: tuple, tile: int, same: bool) -> None:
+    """Take the nearest of smaller ids into (ids, similarity, which) of two blocks of unit vectors, each sorted by id; of equal similarity, rounded to six places, the smaller id.  same: they are one block."""
+    import numpy as np
+
+    small_x, small_y = x.astype(np.float32), y.astype(np.float32)
+    # by how much a product in single precision may be off, twice, and what rounding makes equal
+    slack = 2 * (x.shape[1] + 4) * 2.0**-23 + 1e-6
+
+    def improve(s, own, v, other, w, best, at):
+        ids, sim, which = best
+        top = s.max(1)
+        rows = np.flatnonzero(top >= sim[at] - slack)
+        if not len(rows):
+            return
+        r, c = np.nonzero(s[rows] >= (top[rows] - slack)[:, None])
+        r = rows[r]
+        ok = other[c] < own[r]
+        r, c = r[ok], c[ok]
+        exact = np.round(np.einsum("ij,ij->i", v[r], w[c]), 6)
+        order = np.lexsort((other[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.r_[True, r[1:] != r[:-1]][: len(r)]
+        r, exact, earlier = r[first], exact[first], other[c[first]]
+        now, who = sim[at][r], which[at][r]
+        # what stands in ``sim`` without a vector is the threshold, which must be passed
+        better = (exact > now) | ((exact == now) & (earlier < who) & (who != np.iinfo(np.int64).max))
+        sim[at][r[better]], which[at][r[better]] = exact[better], earlier[better]
+
+    wide = 1024
+    for i in range(0, len(x), tile):
+        p = slice(i, i + tile)
+        own = best_x[0][p]
+        for j in range(0, len(y), wide):
+            q = slice(j, j + wide)
+            other = best_y[0][q]
+            x_later, y_later = own[-1] > other[0], other[-1] > own[0] and not same
+            if not (x_later or y_later):
+                continue
+            s = small_x[p] @ small_y[q].T
+            if x_later:
+                improve(s if other[-1] < own[0] else np.where(other[None, :] < own[:, None], s, np.float32(-2)), own, x[p], other, y[q], best_x, p)
+            if y_later:
+                improve((s if own[-1] < other[0] else np.where(own[:, None] < other[None, :], s, np.float32(-2))).T, other, y[q], own, x[p], best_y, q)
+
+
 def roots(pointers: DataFrame, checkpoint) -> DataFrame:
     """(id, root) of (id, to), each id at most once: the end of its chain, by pointer jumping; a loop's root is its smallest id.
 

@@ -83,3 +83,24 @@ def test_nearest_earlier_in_tiles(spark):
     sim = np.round(u @ u.T, 6)
     got = {r["chunk_id"]: r["earlier"] for r in D.nearest_earlier(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, v array<double>"), 0.3, tile=7).collect()}
     assert got == {i: int(sim[i, :i].argmax()) for i in range(1, 150) if sim[i, :i].max() > 0.3}
+
+
+def test_nearest_earlier_shuffles_no_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(-2, 3, size=(700, 3)).astype(float)  # many equal similarities
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    ids = np.random.default_rng(6).permutation(len(x)) * 3 - 400
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 6)
+    want = {}
+    for i in range(len(x)):
+        before = [(-sim[i, j], ids[j]) for j in range(len(x)) if ids[j] < ids[i]]
+        if before and -min(before)[0] > 0.9:
+            want[ids[i]] = (min(before)[1], -min(before)[0])
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "chunk_id long, v array<double>").repartition(5)
+    for block, tile in ((40, 7), (8192, 512)):
+        out = D.nearest_earlier(rows, 0.9, block=block, tile=tile)
+        assert {r["chunk_id"]: (r["earlier"], r["similarity"]) for r in out.collect()} == want
+        made = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in made and "SortMergeJoin" not in made and "Broadcast" not in made
