@@ -118,8 +118,6 @@ def rerank(ranked: DataFrame, scores: DataFrame, id_col: str = "chunk_id", head:
 
 #: Copy folding: words of a shingle, fewest shingles of a passage, share that makes it a copy (fixed values).
 FOLD_WORDS, FOLD_LEAST, FOLD_SHARE = 5, 12, 0.5
-#: Hits of a list that is folded: a page's, however many are asked for.
-MOST_FOLDED = 1000
 
 
 def page(ranked: DataFrame, offset: int, limit: int, candidates: int = CANDIDATES, id_col: str = "chunk_id") -> DataFrame:
@@ -149,40 +147,52 @@ def shingles(text: Column, n: int = FOLD_WORDS) -> Column:
 
 
 def fold_copies(hits: DataFrame, id_col: str = "chunk_id", least: int = FOLD_LEAST, share: float = FOLD_SHARE) -> DataFrame:
-    """(id, folded_into): down the first MOST_FOLDED of (id, source_id, rank, text), a hit folds into a kept one of another source.
+    """(id, folded_into): down (id, source_id, rank, text), a hit folds into a kept one of another source.
 
     It folds when at least ``share`` of its shingles are among those of the kept hits of one other source; into the kept hit of that source which shares
-    most, ties to the better rank.  Short passages never fold.  The shingles shared by pairs of hits come from a join; only the greedy walk, over at most some
-    hundred rows, is one task's.
+    most, ties to the better rank.  Short passages never fold.  Equal texts are split once, into hashes of shingles; only the greedy walk, over an id, a source and a rank a hit, is one task's.
+    A kept hit whose text its source has kept already changes nothing that follows, so a walk holds each text once a source, and looks again at a text only after another was kept.
     """
     import pandas as pd
 
-    hits = hits.orderBy("rank", id_col).limit(MOST_FOLDED)
-    s = hits.select(id_col, "source_id", "rank", F.explode(shingles(F.col("text"))).alias("s"))
-    size = s.groupBy(id_col, "source_id", "rank").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s")).alias("own"))
-    all_hits = hits.select(id_col, "source_id", "rank").join(size.select(id_col, "n", "own"), id_col, "left")
+    same = hits.groupBy("text").agg(F.collect_list(F.struct(F.col("rank"), F.col(id_col).alias("id"), F.col("source_id").alias("source"))).alias("hits"))
+    texts = same.select("hits", F.transform(shingles(F.col("text")), lambda g: F.xxhash64(g)).alias("own"))
 
     def walk(table: pd.DataFrame) -> pd.DataFrame:
-        kept: dict = {}
+        own = [frozenset(o) for o in table["own"]]
+        kept: list = []  # (source, rank, id)
+        held: set = set()  # (source, text) of the kept
+        holds: dict = {}  # of a shingle, the kept hits that have it
+        seen: dict = {}  # of a text, the number of kept hits when it was last looked at, and what was found
         out = []
-        for r in table.sort_values(["rank", id_col]).itertuples(index=False):
-            own = set(r.own) if r.own is not None else set()
+
+        def shared(t: int) -> tuple[dict, list]:
+            """The shingles of a text that each source has kept, and the kept hits by what they share with it."""
+            if seen.get(t, (-1,))[0] != len(kept):
+                each, of = {}, {}
+                for g in own[t]:
+                    for k in holds.get(g, ()):
+                        each[k] = each.get(k, 0) + 1
+                    for source in {kept[k][0] for k in holds.get(g, ())}:
+                        of[source] = of.get(source, 0) + 1
+                seen[t] = len(kept), of, sorted(each, key=lambda k: (-each[k], kept[k][1]))
+            return seen[t][1:]
+
+        for rank, key, source, t in sorted((h["rank"], h["id"], h["source"], t) for t, hs in enumerate(table["hits"]) for h in hs):
             into = None
-            if len(own) >= least:
-                best = (0, 0)
-                for source, members in kept.items():
-                    if source != r.source_id and len(own & set().union(*(o for _, _, o in members))) >= share * len(own):
-                        for key, rank, other in members:
-                            mark = (len(own & other), -rank)
-                            if mark > best:
-                                best, into = mark, key
-            if into is None:
-                kept.setdefault(r.source_id, []).append((getattr(r, id_col), r.rank, own))
-            out.append((getattr(r, id_col), into))
+            if len(own[t]) >= least:
+                of, nearest = shared(t)
+                into = next((kept[k][2] for k in nearest if kept[k][0] != source and of[kept[k][0]] >= share * len(own[t])), None)
+            if into is None and own[t] and (source, t) not in held:
+                held.add((source, t))
+                for g in own[t]:
+                    holds.setdefault(g, []).append(len(kept))
+                kept.append((source, rank, key))
+            out.append((key, into))
         return pd.DataFrame(out, columns=[id_col, "folded_into"]).astype({"folded_into": "Int64"})
 
     kind = dict(hits.dtypes)[id_col]
-    return all_hits.groupBy().applyInPandas(walk, f"{id_col} {kind}, folded_into {kind}")
+    return texts.groupBy().applyInPandas(walk, f"{id_col} {kind}, folded_into {kind}")
 
 
 def hydrated(ids: DataFrame, chunks: DataFrame, sources: DataFrame, topics: DataFrame, id_col: str = "chunk_id") -> DataFrame:

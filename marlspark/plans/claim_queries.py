@@ -92,9 +92,11 @@ def set_back(spark, d):
 
 def ranked_copies(spark, d):
     """The hundred longest passages that stand in more than one source, with copies of them, as a ranking."""
-    c = C.chunks(spark, d).select("chunk_id", "source_id", "text")
-    top = c.orderBy(F.desc(F.char_length("text")), "chunk_id").limit(100)
-    return S._ranked(top.withColumn("score", F.char_length("text")), "chunk_id").select("chunk_id", "source_id", "rank", "text")
+    mark = F.md5("text")
+    c = C.chunks(spark, d).select("chunk_id", "source_id", "text", F.char_length("text").alias("score"))
+    several = c.groupBy("score", mark.alias("mark")).agg(F.min("source_id").alias("one"), F.max("source_id").alias("two"), F.min("chunk_id").alias("first")).where("one <> two")
+    top = several.orderBy(F.desc("score"), "first").limit(100).select("score", "mark")
+    return S._ranked(c.withColumn("mark", mark).join(F.broadcast(top), ["score", "mark"]), "chunk_id").select("chunk_id", "source_id", "rank", "text")
 
 
 @query("r9_fold_copies")

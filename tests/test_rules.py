@@ -109,3 +109,27 @@ def test_limits_of_calls(spark):
     for r in out:
         t = calls[r["call_id"]][2]
         assert r["recent"] == sum(1 for _, _, u, bad in calls if not bad and timedelta(0) < t - u <= timedelta(hours=1)) and r["allowed"] == (r["recent"] < 4)
+
+
+def test_longest_passages_of_several_sources(spark, tmp_path):
+    line = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    docs = [(i, "\n".join([line(i, 300 + i), line(1000 + i % 7, 40 + i % 7), "twice here", "twice here"])) for i in range(30)] + [(30, line(5000, 500) + "\n" + line(5000, 500)), (31, line(1003, 43))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = claim_queries.ranked_copies(spark, str(tmp_path)).orderBy("rank").collect()
+    want = [(i * 10000 + p, i, t) for i, text in docs for p, t in enumerate(text.split("\n")) if sum(t in x.split("\n") for _, x in docs) > 1]
+    assert [(r["chunk_id"], r["source_id"], r["text"]) for r in got] == sorted(want, key=lambda h: (-len(h[2]), h[0])) and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+    out = {r[0]: r[1] for r in claim_queries.fold_copies(spark, str(tmp_path)).collect()}
+    assert out == folded([(r["chunk_id"], r["source_id"], r["rank"], r["text"]) for r in got]) and sum(v is not None for v in out.values()) == 31 - 7
+
+
+def test_long_lists_of_copies_fold_whole(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choices(words, k=rng.choice([18, 30, 45]))) for _ in range(12)] + ["one two three four five six", "", "too short"]
+    for i in range(12):  # cut at other boundaries, and run together
+        b, c = base[i].split(), base[(i + 1) % 12].split()
+        base += [" ".join(b[: len(b) // 2] + c[: len(c) // 2]), " ".join(b[3:])]
+    made = [(i, rng.randrange(9), i + 1, rng.choice(base)) for i in range(1200)]
+    rng.shuffle(made)
+    want = folded(made)
+    assert {r[0]: r[1] for r in search.fold_copies(spark.createDataFrame(made, "chunk_id long, source_id long, rank long, text string")).collect()} == want and len(want) == 1200
