@@ -164,3 +164,24 @@ def test_entities_take_mentions_in(spark):
     found = spark.createDataFrame([(10, 1, "merge"), (11, 1, "merge"), (12, 1, "merge"), (13, 1, "merge"), (14, 2, "merge"), (15, None, "separate")], "mention_id long, entity_id long, band string")
     got = {r["entity_id"]: (r["aliases"], r["chunks"]) for r in R.taken_in(entities, mentions, found).collect()}
     assert got == {1: (["A", "Alfa"], [2, 4, 5, 7, 9]), 2: (["The Beta"], [8]), 3: ([], [1])}
+
+
+@pytest.mark.parametrize("with_near", [False, True])
+def test_every_entity_that_shares_a_word_is_met(spark, with_near):
+    r = random.Random(9)
+    words = ["Land", "Transport", "Authority", "Éco", "City", "LTA", "Board", "Housing"]
+    name = lambda: " ".join(r.choice(words) for _ in range(r.randrange(1, 4))) + r.choice(["", ".", ", Ltd"])
+    vec = lambda: r.choice([None, [1.0, 0.0], [0.6, 0.8], [1.0]])
+    # the one that a mention names stands behind all others that share a word with it
+    entities = [(i, name(), r.choice("ab"), r.choice([None, "SG", "gb"]), None, vec()) for i in range(300)] + [(900, "Housing & Land Board Nine", "a", None, None, None), (901, "Housing & Land Board Nine", "a", None, None, None)]
+    mentions = [(i, name(), r.choice("ab"), r.choice([None, "sg", "GB"]), vec()) for i in range(150)] + [(500, "The Housing and Land Board, Nine", "a", None, None)]
+    table = {"lta": "land transport authority"}
+    near = {(r.randrange(150), r.randrange(300)) for _ in range(100)} if with_near else set()
+    got = R.resolved(
+        spark.createDataFrame(mentions, MENTION), spark.createDataFrame(entities, ENTITY), spark.createDataFrame(list(table.items()), "short string, long string"),
+        spark.createDataFrame(list(near), "mention_id long, entity_id long") if near else None,
+    )
+    got = {x["mention_id"]: x for x in got.collect()}
+    want = brute_resolve(mentions, entities, table, near, 10**6)
+    assert {m: (x["entity_id"], x["new_key"], x["band"], x["candidate_id"]) for m, x in got.items()} == {m: (e, k, b, c) for m, (e, k, b, _, c) in want.items()}
+    assert all(abs(x["score"] - want[m][3]) < 1e-12 for m, x in got.items() if x["score"] is not None) and got[500]["entity_id"] == 900
